@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import decontaminate, exact_dedup, secret_scan, substring_dedup
+from beamframe.llm import decontaminate, exact_dedup, near_dedup, packed_output, packing, secret_scan, substring_dedup, toxicity
 from beamframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -20,6 +27,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), TOKENIZER)
+
+
+def op7_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_output.packed_rows(documents(spark, sf_dir), TOKENIZER)
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -29,14 +48,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+_ALL = (op1_toxicity, op2_exact_dedup, op5_secret_scan, op6_packing, op7_packed_output, op8_near_dedup, op9_decontaminate, op10_substring_dedup)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op9_decontaminate, op10_substring_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op5_secret_scan": secret_scan.ORACLE,
+        "op8_near_dedup": near_dedup.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
