@@ -1,12 +1,12 @@
 """Near-dedup by b-bit MinHash.
 
 1. One Arrow stage reads each whole text: its set of 5-word shingles, the set's
-   digest, 160 minima as 40 band keys, and the low 4 bits of 128 minima packed in
+   digest, 160 minima as 40 band keys, and the low 4 bits of 1024 minima packed in
    bit planes.
 2. Documents with one set are one node from here on, so copies never meet as pairs.
 3. Nodes that share a band key are candidates. Round 1 pairs each node with the
    smallest node of its bucket only: as many pairs as nodes. Bit counts of the
-   packed planes give the collision-corrected similarity; what lies more than six
+   packed planes give the collision-corrected similarity; what lies more than five
    standard deviations under the threshold goes. The rest is confirmed on full sets.
 4. The links so far give components. Round 2 pairs the nodes of a bucket that are
    still in different components, in blocks of bounded size, again by bit counts
@@ -44,9 +44,9 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4
 #: Minima whose low bits are packed, and bits of each.
-PACKED, LOW_BITS = 128, 4
-#: Estimates under this are pruned: 0.75 less six standard deviations of the estimate (0.04).
-PRUNE = 0.51
+PACKED, LOW_BITS = 1024, 4
+#: Estimates under this are pruned: 0.75 less five standard deviations of the estimate (0.0141).
+PRUNE = 0.68
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 2048
 
@@ -183,19 +183,25 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches)
     c = {x: table.column(x).to_numpy() for x in ("node", "root", "n_shingles", "block", "i", "j")}
     planes = table.column("planes").combine_chunks().flatten().to_numpy().reshape(len(table), -1).view(np.uint64)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+    here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
     left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
     width = PACKED // 64
     least = (PRUNE * (1 - 2.0**-LOW_BITS) + 2.0**-LOW_BITS) * PACKED
-    for x in left:
-        y = right[(c["root"][right] != c["root"][x]) & (c["node"][right] != c["node"][x])]
-        small, large = np.minimum(c["n_shingles"][y], c["n_shingles"][x]), np.maximum(c["n_shingles"][y], c["n_shingles"][x])
-        y = y[100 * small >= PERCENT * large]
-        if not len(y):
-            continue
-        differ = np.bitwise_or.reduce((planes[y] ^ planes[x]).reshape(len(y), LOW_BITS, width), axis=1)
-        y = y[PACKED - np.bitwise_count(differ).sum(axis=1) >= least]
-        if len(y):
-            a, b = np.minimum(c["node"][y], c["node"][x]), np.maximum(c["node"][y], c["node"][x])
+    step = max(1, (1 << 13) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
+        ok = (c["root"][x] != c["root"][y]) & (c["node"][x] != c["node"][y])
+        x, y = x[ok], y[ok]
+        ok = 100 * np.minimum(c["n_shingles"][x], c["n_shingles"][y]) >= PERCENT * np.maximum(c["n_shingles"][x], c["n_shingles"][y])
+        x, y = x[ok], y[ok]
+        differ = np.bitwise_or.reduce((planes[x] ^ planes[y]).reshape(len(x), LOW_BITS, width), axis=1)
+        ok = PACKED - np.bitwise_count(differ).sum(axis=1) >= least
+        x, y = x[ok], y[ok]
+        ok = (bands[x] == bands[y]).argmax(axis=1) == here  # a pair is reported by the first band that it shares
+        x, y = x[ok], y[ok]
+        if len(x):
+            a, b = np.minimum(c["node"][x], c["node"][y]), np.maximum(c["node"][x], c["node"][y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -220,7 +226,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     split = materialize(mixed, "mixed").join(placed, "key").select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).join(nodes.select("node", "n_shingles", "planes"), "node").select("key", "node", "root", "n_shingles", "planes", "block", "p.i", "p.j")
+    dealt = split.withColumn("p", F.explode(own)).join(nodes.select("node", "n_shingles", "bands", "planes"), "node").select("key", "node", "root", "n_shingles", "bands", "planes", "block", "p.i", "p.j")
     rest = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
     second = _links(rest, nodes, texts.select("rid", "text"))
 
