@@ -1,7 +1,7 @@
 """Near-dedup by b-bit MinHash.
 
 1. One Arrow stage reads each whole text: its set of 5-word shingles, the set's
-   digest, 160 minima as 40 band keys, and the low 4 bits of 1024 minima packed in
+   digest, 160 minima as 40 band keys, and the low 2 bits of 2048 minima packed in
    bit planes.
 2. Documents with one set are one node from here on, so copies never meet as pairs.
 3. Nodes that share a band key are candidates. Round 1 pairs each node with the
@@ -44,9 +44,9 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4
 #: Minima whose low bits are packed, and bits of each.
-PACKED, LOW_BITS = 1024, 4
-#: Estimates under this are pruned: 0.75 less five standard deviations of the estimate (0.0141).
-PRUNE = 0.68
+PACKED, LOW_BITS = 2048, 2
+#: Estimates under this are pruned: 0.75 less five standard deviations of the estimate (0.0115).
+PRUNE = 0.692
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 2048
 
@@ -171,7 +171,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     likely = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = likely.where(100 * F.least("n_shingles_a", "n_shingles_b") >= PERCENT * F.greatest("n_shingles_a", "n_shingles_b")).where(estimate("planes_a", "planes_b") >= PRUNE)
     likely = materialize(likely.select("a", "b", "rid_a", "rid_b"), "likely")
-    bits = key_bits(likely.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")), "rid")
+    bits = key_bits(likely.select(F.col("rid_a").alias("rid")).unionByName(likely.select(F.col("rid_b").alias("rid"))), "rid")
     sets = texts.mapInArrow(_sets(bits), "rid long, full binary")
     full = lambda s: sets.select(F.col("rid").alias(f"rid_{s}"), F.col("full").alias(f"full_{s}"))
     joined = likely.join(full("a"), "rid_a").join(full("b"), "rid_b").select("a", "b", "full_a", "full_b")
