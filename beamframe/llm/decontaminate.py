@@ -96,7 +96,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(p: Phrases, last: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pass(p: Phrases, last: bool, cut: bool, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One block of phrases over all documents: adds to ``spans`` (of words) and ``items``; the last one sums up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def _pass(p: Phrases, last: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatc
                 spans[d] = [{"start": x, "end": y} for x, y in new]
                 items[d] = sorted({*(items[d] or ()), *(i for k in np.unique(phrase[own]).tolist() for i in p.items[k])})
             if not last:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, _SPANS), pa.array(items, _ITEMS), *map(b.column, carry)], names=["doc_id", "text", "spans", "items", *carry])
                 continue
             out = {
                 "doc_id": b.column("doc_id"),
@@ -129,7 +129,7 @@ def _pass(p: Phrases, last: bool, cut: bool) -> Callable[[Iterator[pa.RecordBatc
             if cut:
                 texts = b.column("text").to_pylist()
                 out["text"] = pa.array([_without(t, s) for t, s in zip(texts, out["spans"].to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | {c: b.column(c) for c in carry})
 
     return run
 
@@ -159,23 +159,25 @@ def _without(text: str | None, spans: list[dict[str, int]]) -> str | None:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: counts, items, removal spans in code points; with ``cut`` also the text without them."""
+    """One row per document: counts, items, removal spans in code points; with ``cut`` also the text without them; ``carry``: columns of ``docs`` to keep."""
+    carry = list(carry or ())
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     state = docs.select(
-        docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items")
+        docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *[docs[c] for c in carry]
     )
+    rest = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         p = phrases([(r["item_id"], r["text"]) for r in block.toLocalIterator()], window)
         last = k == blocks - 1
-        shape = (_RESULT + ", text string" * cut if last else _STATE).format(id=kind)
-        state = state.mapInArrow(_pass(p, last, cut), shape)
+        shape = (_RESULT + ", text string" * cut if last else _STATE).format(id=kind) + rest
+        state = state.mapInArrow(_pass(p, last, cut, carry), shape)
     return state
 
 
