@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from beamframe.llm.common import ALNUM_LOWER, Words, slices, small_batches, words
 from beamframe.llm.crf import forward_backward, train
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2500
 TRAIN_CHARS = 20_000
 THRESHOLD = 0.7
 #: Training documents that a feature must stand in to have a weight of its own.
@@ -63,30 +63,31 @@ def features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if len(word) > k]]
 
 
-def telling_features(sets: list[set[int]], toxic: list[bool], sizes: list[int]) -> set[int]:
-    """Features that mark toxic documents: common there, rare elsewhere, and explaining documents of their own."""
-    pos = [s for s, t in zip(sets, toxic, strict=True) if t]
-    neg = [s for s, t in zip(sets, toxic, strict=True) if not t]
-    where: dict[int, set[int]] = {}
-    for i, s in enumerate(pos):
-        for f in s:
-            where.setdefault(f, set()).add(i)
-    clean: dict[int, int] = {}
-    for s in neg:
-        for f in s:
-            clean[f] = clean.get(f, 0) + 1
-    least = max(LEAST_EXPLAINED, 0.01 * len(pos))
-    options = {f: d for f, d in where.items() if len(d) >= least and len(d) / len(pos) >= LIFT * (clean.get(f, 0) + 0.5) / (len(neg) + 1)}
+def telling_features(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Features that mark toxic documents: common there, rare elsewhere, and explaining documents of their own.
+
+    ``doc`` and ``feature`` list which document has which feature, each pair once.
+    """
+    n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
+    marked = toxic[doc]
+    pos = np.bincount(feature[marked], minlength=len(sizes))
+    clean = np.bincount(feature[~marked], minlength=len(sizes))
+    least = max(LEAST_EXPLAINED, 0.01 * n_pos)
+    good = (pos >= least) & (pos / n_pos >= LIFT * (clean + 0.5) / (n_neg + 1))
+    of = marked & good[feature]
+    order = np.argsort(feature[of], kind="stable")
+    ids, cuts = np.unique(feature[of][order], return_index=True)
+    options = {int(f): set(d.tolist()) for f, d in zip(ids, np.split(doc[of][order], cuts[1:]), strict=True)} if len(ids) else {}
     picked: list[int] = []
-    open_ = set(range(len(pos)))
+    open_ = set(np.flatnonzero(toxic).tolist())
     while options:
-        best = max(options, key=lambda f: (len(options[f] & open_), -clean.get(f, 0), sizes[f], -f))
+        best = max(options, key=lambda f: (len(options[f] & open_), -clean[f], sizes[f], -f))
         if len(options[best] & open_) < least:
             break
         picked.append(best)
         open_ -= options.pop(best)
-    typical = float(np.median([len(where[f]) for f in picked])) if picked else 0
-    return {*picked} | {f for f, d in options.items() if len(d) >= 0.5 * typical and clean.get(f, 0) <= 0.02 * len(d)}
+    typical = float(np.median(pos[picked])) if picked else 0
+    return [*picked, *[f for f in options if pos[f] >= 0.5 * typical and clean[f] <= 0.02 * pos[f]]]
 
 
 class Model(NamedTuple):
@@ -129,21 +130,35 @@ def fit(sample: list[tuple[str, int]]) -> Model | None:
     w = words(pa.array(texts, pa.string()), ALNUM_LOWER)
     codes, vocabulary = w.encoded()
     number: dict[str, int] = {}
-    of = [[number.setdefault(f, len(number)) for f in features(x)] for x in vocabulary.tolist()]
-    names = list(number)
-    sets = [{f for x in set(codes[a:b].tolist()) for f in of[x]} for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)]
-    telling = telling_features(sets, marks, [len(x) for x in names])
-    toxic_word = np.array([any(f in telling for f in fs) for fs in of], bool)
+    size, flat = np.zeros(len(vocabulary), np.int64), []
+    for k, x in enumerate(vocabulary.tolist()):
+        own = [number.setdefault(f, len(number)) for f in features(x)]
+        size[k] = len(own)
+        flat += own
+    names, of = list(number), np.array(flat, np.int32)
+    del number, flat
+    first = np.cumsum(size) - size
+    # each (document, feature) once
+    each = np.unique(np.repeat(np.arange(len(texts)), np.diff(w.offsets)) * len(vocabulary) + codes)
+    doc, word = each // len(vocabulary), each % len(vocabulary)
+    at = np.repeat(first[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(int(size[word].sum()))
+    each = np.unique(np.repeat(doc, size[word]) * len(names) + of[at])
+    doc, feature = each // len(names), each % len(names)
+    toxic = np.array(marks, bool)
+    telling = np.zeros(len(names), bool)
+    telling[telling_features(doc, feature, toxic, np.array([len(x) for x in names]))] = True
+    toxic_word = np.zeros(len(vocabulary), bool)
+    toxic_word[np.repeat(np.arange(len(vocabulary)), size)[telling[of]]] = True
     states = (toxic_word[codes] & np.repeat(marks, np.diff(w.offsets))).astype(np.int64)
-    seen = np.zeros(len(names), np.int64)
-    for s in sets:
-        seen[list(s)] += 1
+    seen = np.bincount(feature, minlength=len(names))
+    del each, at, doc, feature
     own = np.full(len(names), -1)
     own[seen >= LEAST_DOCS] = np.arange(int((seen >= LEAST_DOCS).sum()))
-    pairs = np.array([(x, own[f]) for x, fs in enumerate(of) for f in fs if own[f] >= 0], np.int64).reshape(-1, 2)
+    pairs = np.column_stack([np.repeat(np.arange(len(vocabulary)), size), own[of]])
+    pairs = pairs[pairs[:, 1] >= 0]
     weights, bias, trans = train(codes, w.offsets, states, (pairs[:, 0], pairs[:, 1]), int((own >= 0).sum()))
     model = Model({names[f]: float(weights[own[f]]) for f in np.flatnonzero(own >= 0).tolist()}, bias, trans, (0.0, 0.0))
-    return model._replace(calibration=calibrate(model.evidence(w)[1], np.array(marks, float)))
+    return model._replace(calibration=calibrate(model.evidence(w)[1], toxic.astype(float)))
 
 
 _SCORED = "doc_id {id}, score double, n_toxic_words long, spans array<struct<start:int,end:int>>"
