@@ -1,19 +1,448 @@
-"""All queries of the lidar operators."""
+"""Queries of the lidar operators over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from beamframe.functions import scalar
+from beamframe.operators import aggregates as agg
+from beamframe.operators import filters, joins, projection, selection, windows
+from beamframe.plans.standins import CLOUD, LINE_ORDER, POINTS, TRACK, cloud, epoch_us, micro, points, table, track
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+L = ", ".join(LINE_ORDER)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def q6(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ------------------------------------------------------------- filters
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice BETWEEN 10000 AND 40000 THEN l_extendedprice ELSE 0 END AS l_extendedprice, CASE WHEN l_quantity BETWEEN 10000 AND 40000 THEN l_quantity ELSE 0 END AS l_quantity FROM {POINTS}")
+def q_clip(spark, sf):
+    return filters.clip(points(spark, sf), ["l_extendedprice", "l_quantity", "missing"], 10000, 40000).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity BETWEEN 10 AND 20 THEN -1 ELSE l_extendedprice END AS l_extendedprice FROM {POINTS}")
+def q_filter_field(spark, sf):
+    return filters.filter_field(points(spark, sf), "l_quantity", 10, 20, ["l_extendedprice"], -1).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f'SELECT l_orderkey, l_linenumber, CASE WHEN "row" >= 8 AND "row" < 16 THEN 0 ELSE range_mm END AS range_u, CASE WHEN (col + shift) % 512 >= 128 AND (col + shift) % 512 < 512 THEN 0 ELSE range_mm END AS range_v FROM {POINTS}')
+def q_filter_uv(spark, sf):
+    both = points(spark, sf).withColumn("range_u", F.col("range_mm")).withColumn("range_v", F.col("range_mm"))
+    u = filters.filter_uv(both, "u", 8, 16, 32, ["range_u"])
+    return filters.filter_uv(u, "v", 0.25, float("inf"), 512, ["range_v"], shift="shift").select("l_orderkey", "l_linenumber", "range_u", "range_v")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN y BETWEEN 2 AND 5 THEN 0 ELSE z END AS z FROM {CLOUD}")
+def q_filter_xyz(spark, sf):
+    return filters.filter_xyz(cloud(spark, sf), "y", 2, 5, ["z"]).select("l_orderkey", "l_linenumber", "z")
+
+
+@query(f'SELECT l_orderkey, l_linenumber, CASE WHEN ("row" + col) % 3 = 0 THEN 0 ELSE range_mm END AS range_mm FROM {POINTS}')
+def q_mask(spark, sf):
+    image = spark.range(32 * 512).select((F.col("id") / 512).cast("int").alias("row"), (F.col("id") % 512).cast("int").alias("col"))
+    image = image.withColumn("mask", F.when((F.col("row") + F.col("col")) % 3 == 0, 0).otherwise(1))
+    return filters.mask(points(spark, sf), image, ["range_mm"]).select("l_orderkey", "l_linenumber", "range_mm")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, range_mm FROM {POINTS} WHERE range_mm >= 12346 AND range_mm <= 30000")
+def q_range_gate(spark, sf):
+    return filters.range_gate(points(spark, sf), 12.3456, 30.0).select("l_orderkey", "l_linenumber", "range_mm")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey & 3 > 0)")
+def q_frame_complete(spark, sf):
+    columns = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_partkey").bitwiseAND(3) > 0, 1).otherwise(0).alias("status"))
+    return filters.complete_frames(columns, ["l_orderkey"])
+
+
+# ------------------------------------------------------------- selection
+
+
+@query(f'SELECT l_orderkey, l_linenumber, CAST("row" // 4 AS INTEGER) AS "row" FROM {POINTS} WHERE "row" % 4 = 0')
+def q_reduce(spark, sf):
+    return selection.reduce_by_factor(points(spark, sf), 4, 32).select("l_orderkey", "l_linenumber", "row")
+
+
+@query(f'SELECT l_orderkey, l_linenumber, CASE "row" WHEN 31 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS "row" FROM {POINTS} WHERE "row" IN (31, 5, 7)')
+def q_select(spark, sf):
+    return selection.select_rows(points(spark, sf), [31, 5, 7], 32).select("l_orderkey", "l_linenumber", "row")
+
+
+ORDERED = "(SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq, count(*) OVER () AS n FROM orders)"
+
+
+@query(f"SELECT o_orderkey, seq FROM {ORDERED} WHERE seq >= greatest(0, n - 500) AND seq < n - 20 AND (seq - greatest(0, n - 500)) % 3 = 0")
+def q_slice(spark, sf):
+    return selection.slice_frames(selection.numbered(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"]), -500, -20, 3).select("o_orderkey", "seq")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM (SELECT *, date_diff('day', min(o_orderdate) OVER (), o_orderdate) AS d FROM orders) WHERE d BETWEEN 10 AND 400) WHERE i % 5 = 0")
+def q_time_slice(spark, sf):
+    days = table(spark, sf, "orders").withColumn("d", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")))
+    return selection.time_slice(days, "d", 10, 400, 5, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 4 = 2")
+def q_single(spark, sf):
+    return selection.single(table(spark, sf, "events").withColumn("sensor_idx", F.col("user_id") % 4), 2).select("event_id")
+
+
+@query(f"SELECT o_orderkey FROM {ORDERED} WHERE seq = n - 3")
+def q_index(spark, sf):
+    return selection.at_index(selection.numbered(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"]), -3).select("o_orderkey")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
+def q_newest(spark, sf):
+    return selection.newest(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def q_merge_sources(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return selection.merged([o.where(F.col("o_orderstatus") == s) for s in ("F", "O")], ["o_orderdate", "o_orderkey"]).drop("o_orderstatus")
+
+
+@query()
+def q_key_frames(spark, sf):
+    t = track(spark, sf).select("user_id", "ts_us", "event_id", F.col("value").alias("x"), (F.col("milli") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return selection.key_frames(t, "user_id", "ts_us", 10, 50.0)
+
+
+# ------------------------------------------------------------- projection
+
+DIRECTION = "cos(2 * pi() - col * (2 * pi() / 512) - radians(\"row\" / 10.0)) * cos(radians(\"row\" - 16.0)) AS dx, sin(2 * pi() - col * (2 * pi() / 512) - radians(\"row\" / 10.0)) * cos(radians(\"row\" - 16.0)) AS dy, sin(radians(\"row\" - 16.0)) AS dz"
+
+
+def _directed(spark, sf):
+    d = projection.beam_direction(F.col("col"), F.col("row") / 10.0, F.col("row") - 16.0, 512)
+    return points(spark, sf).withColumns({k: v * 1e-3 for k, v in d.items()} | {k: F.lit(0.0) for k in ("ox", "oy", "oz")})
+
+
+@query(f'SELECT l_orderkey, l_linenumber, (col + shift) % 512 AS col FROM {POINTS}')
+def q_destagger(spark, sf):
+    return projection.destagger(points(spark, sf), 512).select("l_orderkey", "l_linenumber", "col")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {q6('range_mm * dx / 1000')} AS x, {q6('range_mm * dy / 1000')} AS y, {q6('range_mm * dz / 1000')} AS z FROM (SELECT *, {DIRECTION} FROM {POINTS})")
+def q_xyz(spark, sf):
+    return projection.cartesian(_directed(spark, sf)).select("l_orderkey", "l_linenumber", *[micro(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {q6('range_mm * dy / 1000 + col')} AS x, {q6('-range_mm * dx / 1000 + 2 * col')} AS y, {q6('range_mm * dz / 1000')} AS z FROM (SELECT *, {DIRECTION} FROM {POINTS})")
+def q_dewarp(spark, sf):
+    c = F.col("col").cast("double")
+    one, none = F.lit(1.0), F.lit(0.0)
+    poses = spark.range(512).select(F.col("id").cast("int").alias("col")).withColumn("pose", F.array(none, one, none, c, -one, none, none, c * 2, none, none, one, none, none, none, none, one))
+    return projection.dewarp(projection.cartesian(_directed(spark, sf)), poses, ["col"]).select("l_orderkey", "l_linenumber", *[micro(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {q6('0.5 * x - y + 3')} AS x, {q6('x + 0.5 * y')} AS y, {q6('z - 1')} AS z FROM {CLOUD}")
+def q_transform(spark, sf):
+    out = projection.transform(cloud(spark, sf), [0.5, -1.0, 0.0, 3.0, 1.0, 0.5, 0.0, 0.0, 0.0, 0.0, 1.0, -1.0, 0.0, 0.0, 0.0, 1.0])
+    return out.select("l_orderkey", "l_linenumber", *[micro(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query("SELECT event_id, (event_id & 7) AS flag, (event_id & 2040) >> 3 AS signal, (event_id & 15) << 4 AS scaled FROM events")
+def q_bitfield_decode(spark, sf):
+    out = projection.decode(table(spark, sf, "events"), "event_id", {"flag": (7, 0), "signal": (2040, 3), "scaled": (15, -4)})
+    return out.select("event_id", "flag", "signal", "scaled")
+
+
+@query("SELECT event_id, CAST(event_id & 1 = 1 AS BOOLEAN) AS valid, bit_count(event_id) AS bits FROM events")
+def q_bit_tests(spark, sf):
+    return table(spark, sf, "events").select("event_id", scalar.valid(F.col("event_id")).alias("valid"), F.bit_count("event_id").cast("tinyint").alias("bits"))
+
+
+# ------------------------------------------------------------- voxels
+
+V = "CAST(floor(x * 0.2) AS INTEGER) AS vx, CAST(floor(y * 0.2) AS INTEGER) AS vy, CAST(floor(z * 0.2) AS INTEGER) AS vz"
+
+
+@query(f"SELECT vx, vy, vz, n, {q6('sx / n')} AS x, {q6('sz / n')} AS z FROM (SELECT vx, vy, vz, count(*) AS n, sum(x) AS sx, sum(z) AS sz FROM (SELECT *, {V} FROM {CLOUD}) GROUP BY vx, vy, vz)")
+def q_voxel_avg(spark, sf):
+    return agg.voxel_average(cloud(spark, sf), 5.0, ["x", "z"]).withColumns({a: micro(F.col(a)) for a in "xz"})
+
+
+@query(f"SELECT vx, vy, vz, count(*) AS n FROM (SELECT *, {V} FROM {CLOUD}) GROUP BY vx, vy, vz HAVING count(*) >= 20")
+def q_voxel_min_pts(spark, sf):
+    return agg.voxel_average(cloud(spark, sf), 5.0, [], 20)
+
+
+@query(f"SELECT vx, vy, vz, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY {L}) AS rn FROM (SELECT *, {V} FROM {CLOUD})) WHERE rn = 1")
+def q_voxel_first(spark, sf):
+    return agg.voxel_first(cloud(spark, sf), 5.0, LINE_ORDER, ["x", "y", "z"])
+
+
+@query(f"SELECT vx, vy, vz, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY {', '.join(c + ' DESC' for c in LINE_ORDER)}) AS rn FROM (SELECT *, {V} FROM {CLOUD})) WHERE rn = 1")
+def q_voxel_last(spark, sf):
+    return agg.voxel_last(cloud(spark, sf), 5.0, LINE_ORDER, ["x", "y", "z"])
+
+
+@query()
+def q_voxel_spaced(spark, sf):
+    return agg.voxel_spaced(cloud(spark, sf), 5.0, LINE_ORDER, 3).select("vx", "vy", "vz", "x", "y", "z")
+
+
+@query()
+def q_voxel_shuffled(spark, sf):
+    return agg.voxel_shuffled(table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), (F.col("c_acctbal") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")), 5.0, "i", 42)
+
+
+@query(f"SELECT vx, vy, vz, count(*) AS n FROM (SELECT *, {V} FROM {CLOUD}) WHERE (vx - 2) * (vx - 2) + vy * vy + (vz - 4) * (vz - 4) <= 9 GROUP BY vx, vy, vz")
+def q_voxel_evict(spark, sf):
+    return agg.near_voxels(agg.voxel_average(cloud(spark, sf), 5.0, []), (2, 0, 4), 3)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destagger, project, gate, correct for motion, average by voxel."""
+    staged = projection.destagger(_directed(spark, sf_dir), 512)
+    poses = spark.range(512).select(F.col("id").cast("int").alias("col"))
+    x = F.col("col") / 512.0
+    one, none = F.lit(1.0), F.lit(0.0)
+    poses = poses.withColumn("pose", F.array(one, none, none, x, none, one, none, none, none, none, one, none, none, none, none, one))
+    gated = filters.range_gate(projection.cartesian(staged), 1.0, 60.0)
+    return agg.voxel_average(projection.dewarp(gated, poses, ["col"]), 0.5, ["x", "y", "z"])
+
+
+@query(f"""SELECT count(*) AS voxels, CAST(sum(n) AS BIGINT) AS points FROM (SELECT count(*) AS n FROM (
+    SELECT range_mm * dx / 1000 + c2 / 512.0 AS x, range_mm * dy / 1000 AS y, range_mm * dz / 1000 AS z FROM (
+        SELECT range_mm, col AS c2, {DIRECTION} FROM (SELECT * REPLACE ((col + shift) % 512 AS col) FROM {POINTS}) WHERE range_mm BETWEEN 1000 AND 60000))
+    GROUP BY floor(floor(x * 1e9 + 0.5) / 1e9 * 0.5), floor(floor(y * 1e9 + 0.5) / 1e9 * 0.5), floor(floor(z * 1e9 + 0.5) / 1e9 * 0.5))""")
+def q_pipeline_points(spark, sf):
+    d = projection.beam_direction(F.col("col"), F.col("row") / 10.0, F.col("row") - 16.0, 512)
+    staged = projection.destagger(points(spark, sf), 512).withColumns({k: v * 1e-3 for k, v in d.items()} | {k: F.lit(0.0) for k in ("ox", "oy", "oz")})
+    xyz = filters.range_gate(projection.cartesian(staged), 1.0, 60.0).withColumn("x", F.col("x") + F.col("col") / 512.0)
+    snapped = xyz.withColumns({a: F.floor(F.col(a) * 1e9 + 0.5) / 1e9 for a in "xyz"})
+    return agg.voxel_average(snapped, 2.0, []).agg(F.count(F.lit(1)).alias("voxels"), F.sum("n").alias("points"))
+
+
+# ------------------------------------------------------------- joins
+
+
+@query(f"""WITH e AS {TRACK}, k AS (SELECT user_id, ts_us, max(milli) AS milli FROM e WHERE event_type = 'view' GROUP BY user_id, ts_us)
+SELECT e.event_id, b.ts_us AS t0, b.milli AS v0, a.ts_us AS t1, a.milli AS v1 FROM e
+ASOF LEFT JOIN k b ON e.user_id = b.user_id AND e.ts_us >= b.ts_us ASOF LEFT JOIN k a ON e.user_id = a.user_id AND e.ts_us <= a.ts_us WHERE e.event_type <> 'view'""")
+def q_pose_asof(spark, sf):
+    t = track(spark, sf)
+    knots = t.where("event_type = 'view'").groupBy("user_id", "ts_us").agg(F.max("milli").alias("milli"))
+    return joins.asof_bracket(t.where("event_type <> 'view'").drop("milli"), knots, "user_id", "ts_us", "milli").select("event_id", "t0", "v0", "t1", "v1")
+
+
+@query(f"""WITH e AS {TRACK}, k AS (SELECT user_id, ts_us, max(milli) AS milli FROM e WHERE event_type = 'view' GROUP BY user_id, ts_us)
+SELECT e.event_id, floor((CASE WHEN a.ts_us = b.ts_us THEN b.milli ELSE b.milli + (a.milli - b.milli) * ((e.ts_us - b.ts_us) / (a.ts_us - b.ts_us)) END) * 1e3 + 0.5) / 1e3 AS value_at FROM e
+ASOF LEFT JOIN k b ON e.user_id = b.user_id AND e.ts_us >= b.ts_us ASOF LEFT JOIN k a ON e.user_id = a.user_id AND e.ts_us <= a.ts_us WHERE e.event_type <> 'view'""")
+def q_interp_linear(spark, sf):
+    t = track(spark, sf)
+    knots = t.where("event_type = 'view'").groupBy("user_id", "ts_us").agg(F.max("milli").alias("milli"))
+    found = joins.asof_bracket(t.where("event_type <> 'view'").drop("milli"), knots, "user_id", "ts_us", "milli")
+    share = (F.col("ts_us") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    value = F.when(F.col("t0") == F.col("t1"), F.col("v0").cast("double")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * share)
+    return found.select("event_id", (F.floor(value * 1e3 + 0.5) / 1e3).alias("value_at"))
+
+
+NN = "(SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 40.0 AS y FROM supplier)"
+NC = "(SELECT c_custkey AS id, c_acctbal AS x, c_nationkey * 40.0 AS y FROM customer)"
+
+
+def _plane(spark, sf, name, p):
+    return table(spark, sf, name).select(F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}").alias("id"), F.col(f"{p}_acctbal").alias("x"), (F.col(f"{p}_nationkey") * 40.0).alias("y"))
+
+
+@query(f"SELECT id, point FROM (SELECT c.id, s.id AS point, row_number() OVER (PARTITION BY c.id ORDER BY (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y), s.id) AS rn FROM {NC} c, {NN} s WHERE (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) < 6400) WHERE rn = 1")
+def q_nn(spark, sf):
+    s = _plane(spark, sf, "supplier", "s").withColumnRenamed("id", "sid")
+    return joins.nearest(_plane(spark, sf, "customer", "c"), s, ["x", "y"], 80.0, "id", "sid").select("id", F.col("sid").alias("point"))
+
+
+@query(f"SELECT a.id AS id, b.id AS candidate FROM {NN} a JOIN {NN} b ON b.id < a.id AND a.id - b.id >= 5 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 40000")
+def q_loop_candidates(spark, sf):
+    poses = _plane(spark, sf, "supplier", "s").withColumn("travelled", F.col("id").cast("double"))
+    return joins.loop_candidates(poses, ["x", "y"], 200.0, "id", "travelled", 5.0).select("id", "candidate")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS lidar_n, b.n AS imu_n FROM (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 5 > 0 GROUP BY 1) b ON a.k = b.k")
+def q_port_full_join(spark, sf):
+    e = table(spark, sf, "events")
+    side = lambda kind, m, name: e.where((F.col("event_type") == kind) & (F.col("user_id") % m > 0)).groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias(name))
+    return joins.stream_ports(side("view", 3, "lidar_n"), side("click", 5, "imu_n"), "k")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
+def q_unmatched(spark, sf):
+    return joins.unmatched(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "k"), table(spark, sf, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("k")), "k").select(F.col("k").alias("o_orderkey"))
+
+
+@query(f'SELECT l_orderkey, l_linenumber, n_name FROM {POINTS} p JOIN nation ON n_nationkey = "row" % 25')
+def q_sensor_join(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("sn"), "n_name")
+    return joins.with_sensor(points(spark, sf).withColumn("sn", (F.col("row") % 25).cast("int")), n).select("l_orderkey", "l_linenumber", "n_name")
+
+
+ZONES = "(SELECT CAST(z AS INTEGER) AS zone_id, z * 8000 AS near_mm, z * 8000 + 20000 AS far_mm, CAST(r AS INTEGER) AS \"row\" FROM range(4) a(z), range(32) b(r) WHERE r % 4 <> z)"
+
+
+def _zones(spark):
+    px = spark.range(128).select((F.col("id") / 32).cast("int").alias("zone_id"), (F.col("id") % 32).cast("int").alias("row"))
+    return px.where(F.col("row") % 4 != F.col("zone_id")).withColumn("near_mm", F.col("zone_id").cast("long") * 8000).withColumn("far_mm", F.col("near_mm") + 20000)
+
+
+@query(f"""SELECT zone_id, count(*) FILTER (inside) AS "count", count(*) FILTER (range_mm > 0 AND range_mm < near_mm) AS occlusion, count(*) FILTER (range_mm = 0) AS invalid,
+    min(range_mm) FILTER (inside) AS min_range, max(range_mm) FILTER (inside) AS max_range, {q6('sum(range_mm) FILTER (inside) / count(*) FILTER (inside)')} AS mean_range
+    FROM (SELECT *, range_mm > 0 AND range_mm BETWEEN near_mm AND far_mm AS inside FROM {POINTS} p JOIN {ZONES} z ON p."row" = z."row") GROUP BY zone_id""")
+def q_zone_counts(spark, sf):
+    return agg.zone_counts(joins.zone_hits(points(spark, sf), _zones(spark), ["row"]), ["zone_id"]).withColumn("mean_range", micro(F.col("mean_range")))
+
+
+@query(f'SELECT l_orderkey, l_linenumber, CAST(bit_or(CASE WHEN range_mm BETWEEN near_mm AND far_mm THEN CAST(1 AS BIGINT) << zone_id ELSE 0 END) AS BIGINT) AS zone_mask FROM {POINTS} p JOIN {ZONES} z ON p."row" = z."row" GROUP BY l_orderkey, l_linenumber')
+def q_zone_bits(spark, sf):
+    return agg.zone_bits(joins.zone_hits(points(spark, sf), _zones(spark), ["row"]), ["l_orderkey", "l_linenumber"], "zone_id")
+
+
+# ------------------------------------------------------------- aggregates
+
+
+@query("SELECT user_id, count(*) AS packets, CAST(sum(event_id % 1000) AS BIGINT) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (event_id % 1000 = 0) AS missing FROM events GROUP BY user_id")
+def q_stats(spark, sf):
+    return agg.frame_stats(table(spark, sf, "events").withColumn("size", F.col("event_id") % 1000), ["user_id"], "ts", "size")
+
+
+@query("SELECT event_type, count(*) AS messages, min(ts) AS start_ts, max(ts) AS end_ts, CAST(sum(event_id % 1000) // count(*) AS BIGINT) AS avg_size FROM events GROUP BY event_type")
+def q_stream_stats(spark, sf):
+    return agg.stream_stats(table(spark, sf, "events").withColumn("size", F.col("event_id") % 1000), "event_type", "ts", "size")
+
+
+@query("SELECT event_type, length(props) AS size, count(*) AS n FROM events GROUP BY event_type, length(props)")
+def q_stream_hist(spark, sf):
+    return agg.histogram(table(spark, sf, "events").withColumn("size", F.length("props").cast("long")), "event_type", "size")
+
+
+@query("SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE event_id % 2 = 1 GROUP BY user_id")
+def q_valid_span(spark, sf):
+    return agg.valid_span(table(spark, sf, "events"), ["user_id"], "ts", scalar.valid(F.col("event_id")))
+
+
+@query(f"""SELECT count(*) AS used, floor(sum(range_mm) / count(*) * 0.001 / 46 * 2 * 1e6 + 0.5) / 1e6 AS voxel_size FROM (
+    SELECT range_mm, row_number() OVER (PARTITION BY l_suppkey ORDER BY range_mm, {L}) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM {POINTS} WHERE range_mm > 0)
+    WHERE i >= ceil(CAST(0.92 AS DOUBLE) * n) AND i <= floor(CAST(0.96 AS DOUBLE) * n)""")
+def q_voxel_size_percentile(spark, sf):
+    return agg.trimmed_voxel_size(points(spark, sf), "l_suppkey", "range_mm", LINE_ORDER).withColumn("voxel_size", micro(F.col("voxel_size")))
+
+
+@query("SELECT user_id, ts_us FROM (SELECT user_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM " + TRACK + ") WHERE i = n // 2")
+def q_median_col(spark, sf):
+    w = Window.partitionBy("user_id")
+    t = track(spark, sf).withColumn("i", F.row_number().over(w.orderBy("ts_us", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return t.where(F.col("i") == F.floor(F.col("n") / 2)).select("user_id", "ts_us")
+
+
+@query("SELECT n_regionkey, md5(string_agg(n_name, '|' ORDER BY n_nationkey)) AS md5, sha256(string_agg(n_name, '|' ORDER BY n_nationkey)) AS sha256 FROM nation GROUP BY n_regionkey")
+def q_digest(spark, sf):
+    return agg.digest(table(spark, sf, "nation"), ["n_regionkey"], F.col("n_name"), ["n_nationkey"])
+
+
+W = "pow(2.0 / (2.0 + pow(x * 0.01, 2) + pow(y * 0.02, 2) + pow(0.01 * z, 2)), 2)"
+
+
+@query(f"SELECT count(*) AS n, floor(sum({W}) * 1e3 + 0.5) / 1e3 AS h00, floor(sum({W} * (z * z + y * y)) * 1e-1 + 0.5) / 1e-1 AS h33, floor(sum({W} * x * 0.01) * 1e2 + 0.5) / 1e2 AS b0 FROM {CLOUD}")
+def q_linear_system(spark, sf):
+    c = cloud(spark, sf).select(*[F.col(a).alias(f"p{a}") for a in "xyz"], (F.col("x") * 0.99).alias("qx"), (F.col("y") * 0.98).alias("qy"), (F.col("z") * 0.99).alias("qz"))
+    s = agg.linear_system(c, 2.0)
+    return s.select("n", (F.floor(F.col("h00") * 1e3 + 0.5) / 1e3).alias("h00"), (F.floor(F.col("h33") * 1e-1 + 0.5) / 1e-1).alias("h33"), (F.floor(F.col("b0") * 1e2 + 0.5) / 1e2).alias("b0"))
+
+
+# ------------------------------------------------------------- sequences
+
+
+@query(f"SELECT event_id, CASE WHEN d > 32768 THEN d - 65536 ELSE d END AS step FROM (SELECT event_id, ((f - lag(f) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)) % 65536 + 65536) % 65536 AS d FROM (SELECT *, (event_id * 977) % 65536 AS f FROM {TRACK}))")
+def q_frame_id_diff(spark, sf):
+    t = track(spark, sf).withColumn("f", F.col("event_id") * 977 % 65536)
+    return windows.frame_steps(t, "user_id", ["ts_us", "event_id"], "f").select("event_id", "step")
+
+
+@query(f"SELECT event_id, CAST(sum(abs(milli - p)) OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS travelled FROM (SELECT *, coalesce(lag(milli) OVER (PARTITION BY user_id ORDER BY ts_us, event_id), milli) AS p FROM {TRACK})")
+def q_distance_travelled(spark, sf):
+    out = windows.distance_travelled(track(spark, sf), "user_id", ["ts_us", "event_id"], ["milli"])
+    return out.select("event_id", F.col("travelled").cast("long").alias("travelled"))
+
+
+@query(f"SELECT user_id, {q6('list_reduce(list(CAST(milli AS DOUBLE) ORDER BY ts_us, event_id), lambda a, x: a * 0.75 + x * 0.25)')} AS smoothed FROM {TRACK} GROUP BY user_id")
+def q_ema(spark, sf):
+    t = track(spark, sf).withColumn("v", F.col("milli").cast("double"))
+    return windows.smoothed(t, "user_id", ["ts_us", "event_id"], "v", 0.75).withColumn("smoothed", micro(F.col("smoothed")))
+
+
+@query(f"SELECT event_id, coalesce(ts_us < max(ts_us) OVER w, false) AS late FROM {TRACK} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def q_monotonic(spark, sf):
+    return windows.out_of_order(track(spark, sf), "user_id", ["event_id"], "ts_us").select("event_id", "late")
+
+
+@query(f"""WITH h AS (SELECT event_id, user_id, ts_us, milli >= 30000 AS hit FROM {TRACK}),
+g AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM h),
+t AS (SELECT event_id, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS trigger FROM g)
+SELECT event_id, CAST(trigger AS BIGINT) AS "trigger", CAST(greatest(0, trigger - 2) AS BIGINT) AS alert FROM t""")
+def q_zone_trigger_run(spark, sf):
+    out = windows.trigger_runs(track(spark, sf), "user_id", ["ts_us", "event_id"], F.col("milli") >= 30000, 3)
+    return out.select("event_id", "trigger", "alert")
+
+
+@query(f"SELECT event_id, max(ts_us) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS fixed FROM {TRACK}")
+def q_time_correction(spark, sf):
+    return windows.corrected_time(track(spark, sf), "user_id", ["event_id"], "ts_us").select("event_id", "fixed")
+
+
+@query(f"""WITH g AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS frame_id, CAST(l_orderkey % 16 AS INTEGER) AS r, CAST(l_partkey % 32 AS INTEGER) AS c, CAST(max(floor(l_extendedprice)) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+d AS (SELECT frame_id, r, c, coalesce(v - lag(v) OVER (PARTITION BY frame_id, c ORDER BY r), 0) AS d FROM g),
+m AS (SELECT frame_id, r, d FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, r ORDER BY d, c) AS i, count(*) OVER (PARTITION BY frame_id, r) AS n FROM d) WHERE i = n // 2 + 1),
+s AS (SELECT frame_id, r, sum(d) OVER (PARTITION BY frame_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS level FROM m),
+l AS (SELECT frame_id, regr_slope(level, r) AS a, regr_intercept(level, r) AS b FROM s GROUP BY frame_id),
+x AS (SELECT frame_id, r, level - (a * r + b) AS rest FROM s JOIN l USING (frame_id))
+SELECT frame_id, r AS "row", floor((rest - min(rest) OVER (PARTITION BY frame_id)) * 1e3 + 0.5) / 1e3 AS "offset" FROM x""")
+def q_row_median_cumsum(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("frame_id"), (F.col("l_orderkey") % 16).cast("int").alias("row"), (F.col("l_partkey") % 32).cast("int").alias("col"))
+    out = windows.row_offsets(g.agg(F.max(F.floor("l_extendedprice")).cast("double").alias("v")), "v")
+    return out.withColumn("offset", F.floor(F.col("offset") * 1e3 + 0.5) / 1e3)
+
+
+# ------------------------------------------------------------- scalar functions
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) * 1000) % 1000000000 AS VARCHAR), 9, '0') AS text FROM events")
+def q_ns_to_string(spark, sf):
+    return table(spark, sf, "events").select("event_id", scalar.ns_to_string(epoch_us(F.col("ts")) * 1000).alias("text"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
