@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import scalar
 from beamframe.operators import aggregates as agg
-from beamframe.operators import filters, joins, projection, selection, windows
+from beamframe.operators import filters, images, joins, projection, registration, selection, windows
 from beamframe.plans.standins import CLOUD, LINE_ORDER, POINTS, TRACK, cloud, epoch_us, micro, points, table, track
+from beamframe.streaming import batcher, collator
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -250,12 +251,12 @@ def q_pipeline_points(spark, sf):
 
 
 @query(f"""WITH e AS {TRACK}, k AS (SELECT user_id, ts_us, max(milli) AS milli FROM e WHERE event_type = 'view' GROUP BY user_id, ts_us)
-SELECT e.event_id, b.ts_us AS t0, b.milli AS v0, a.ts_us AS t1, a.milli AS v1 FROM e
+SELECT e.event_id, coalesce(b.ts_us, -1) AS t0, coalesce(b.milli, -1) AS v0, coalesce(a.ts_us, -1) AS t1, coalesce(a.milli, -1) AS v1 FROM e
 ASOF LEFT JOIN k b ON e.user_id = b.user_id AND e.ts_us >= b.ts_us ASOF LEFT JOIN k a ON e.user_id = a.user_id AND e.ts_us <= a.ts_us WHERE e.event_type <> 'view'""")
 def q_pose_asof(spark, sf):
     t = track(spark, sf)
     knots = t.where("event_type = 'view'").groupBy("user_id", "ts_us").agg(F.max("milli").alias("milli"))
-    return joins.asof_bracket(t.where("event_type <> 'view'").drop("milli"), knots, "user_id", "ts_us", "milli").select("event_id", "t0", "v0", "t1", "v1")
+    return joins.asof_bracket(t.where("event_type <> 'view'").drop("milli"), knots, "user_id", "ts_us", "milli").select("event_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("t0", "v0", "t1", "v1")])
 
 
 @query(f"""WITH e AS {TRACK}, k AS (SELECT user_id, ts_us, max(milli) AS milli FROM e WHERE event_type = 'view' GROUP BY user_id, ts_us)
@@ -290,11 +291,11 @@ def q_loop_candidates(spark, sf):
     return joins.loop_candidates(poses, ["x", "y"], 200.0, "id", "travelled", 5.0).select("id", "candidate")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS lidar_n, b.n AS imu_n FROM (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 5 > 0 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS lidar_n, coalesce(b.n, 0) AS imu_n FROM (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 5 > 0 GROUP BY 1) b ON a.k = b.k")
 def q_port_full_join(spark, sf):
     e = table(spark, sf, "events")
     side = lambda kind, m, name: e.where((F.col("event_type") == kind) & (F.col("user_id") % m > 0)).groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias(name))
-    return joins.stream_ports(side("view", 3, "lidar_n"), side("click", 5, "imu_n"), "k")
+    return joins.stream_ports(side("view", 3, "lidar_n"), side("click", 5, "imu_n"), "k").fillna(0)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
@@ -383,10 +384,10 @@ def q_linear_system(spark, sf):
 # ------------------------------------------------------------- sequences
 
 
-@query(f"SELECT event_id, CASE WHEN d > 32768 THEN d - 65536 ELSE d END AS step FROM (SELECT event_id, ((f - lag(f) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)) % 65536 + 65536) % 65536 AS d FROM (SELECT *, (event_id * 977) % 65536 AS f FROM {TRACK}))")
+@query(f"SELECT event_id, coalesce(CASE WHEN d > 32768 THEN d - 65536 ELSE d END, 0) AS step FROM (SELECT event_id, ((f - lag(f) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)) % 65536 + 65536) % 65536 AS d FROM (SELECT *, (event_id * 977) % 65536 AS f FROM {TRACK}))")
 def q_frame_id_diff(spark, sf):
     t = track(spark, sf).withColumn("f", F.col("event_id") * 977 % 65536)
-    return windows.frame_steps(t, "user_id", ["ts_us", "event_id"], "f").select("event_id", "step")
+    return windows.frame_steps(t, "user_id", ["ts_us", "event_id"], "f").select("event_id", F.coalesce("step", F.lit(0)).alias("step"))
 
 
 @query(f"SELECT event_id, CAST(sum(abs(milli - p)) OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS travelled FROM (SELECT *, coalesce(lag(milli) OVER (PARTITION BY user_id ORDER BY ts_us, event_id), milli) AS p FROM {TRACK})")
@@ -446,3 +447,80 @@ def q_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+
+
+# ------------------------------------------------------------- packets, frames and sets
+
+
+def _packets(spark, sf):
+    """Events as packets of four sensors: frames of six hours, numbered from each sensor's clock, columns by type."""
+    t = table(spark, sf, "events").select("event_id", "user_id", "event_type", epoch_us(F.col("ts")).alias("ts_us"))
+    return t.select(
+        (F.col("user_id") % 4).cast("int").alias("sensor_idx"),
+        F.lit(0).cast("long").alias("init_id"),
+        F.pmod(F.floor(F.col("ts_us") / 21_600_000_000), F.lit(65536)).alias("frame_id"),
+        F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(8)).cast("int").alias("packet_no"),
+        (F.col("ts_us") * 1000).alias("host_ts"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+@query("""SELECT CAST(user_id % 4 AS INTEGER) AS sensor_idx, CAST((epoch_us(ts) // 21600000000) % 65536 AS BIGINT) AS frame_id, count(*) AS packets, count(DISTINCT event_type) AS distinct_packets,
+    min(epoch_us(ts) * 1000) AS first_ts, max(epoch_us(ts) * 1000) AS last_ts FROM events GROUP BY 1, 2""")
+def q_frame_batch(spark, sf):
+    return batcher.batch_summary(_packets(spark, sf)).drop("init_id")
+
+
+@query()
+def q_batch_exact(spark, sf):
+    return batcher.batch_exact(_packets(spark, sf), expected=5)
+
+
+@query()
+def q_collate(spark, sf):
+    frames = batcher.batch_summary(_packets(spark, sf)).select(F.lit(0).alias("session"), "sensor_idx", "frame_id", F.col("last_ts").alias("ts"))
+    return collator.collate(frames, "session", sensors=4, dt=10_800_000_000_000)
+
+
+# ------------------------------------------------------------- kernels on whole frames
+
+
+@query()
+def q_normals(spark, sf):
+    p = projection.cartesian(_directed(spark, sf)).withColumn("frame_id", F.col("l_suppkey") % 8)
+    one = p.groupBy("frame_id", "row", "col").agg(F.min_by(F.struct("x", "y", "z"), F.struct(*LINE_ORDER)).alias("p")).select("frame_id", "row", "col", "p.*")
+    return images.normals(one, 32, 512)
+
+
+@query()
+def q_ground(spark, sf):
+    p = cloud(spark, sf).select((F.col("l_suppkey") % 8).alias("frame_id"), F.col("l_orderkey").alias("point_id"), "l_linenumber", "x", "y", "z")
+    return images.ground(p, cell=2.0)
+
+
+@query()
+def q_clahe(spark, sf):
+    g = points(spark, sf).groupBy((F.col("l_suppkey") % 4).alias("frame_id"), "row", (F.col("col") % 64).alias("col")).agg(F.max("l_extendedprice").alias("v"))
+    return images.equalised(g, "v", 32, 64)
+
+
+@query()
+def q_clusters(spark, sf):
+    """Euclidean clustering, an extension: detections of the open operators' interface."""
+    p = table(spark, sf, "customer").select(F.lit(0).alias("frame_id"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") / 10).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return images.clusters(p, 0.8)
+
+
+@query()
+def q_icp(spark, sf):
+    target = cloud(spark, sf).where("l_linenumber <= 2").select(F.monotonically_increasing_id().alias("id"), *[F.col(a).alias(a) for a in "xyz"])
+    source = projection.transform(target, [1.0, 0.0, 0.0, 0.05, 0.0, 1.0, 0.0, -0.04, 0.0, 0.0, 1.0, 0.03, 0.0, 0.0, 0.0, 1.0])
+    pose = registration.align(source, target, 2.0, 1.0, iterations=5)
+    return spark.createDataFrame([(i, j, float(pose[i, j])) for i in range(4) for j in range(4)], "r int, c int, v double")
+
+
+@query()
+def q_pose_graph(spark, sf):
+    edges = [(i, i + 1, [0.0, 0.0, 0.1, 1.0, 0.0, 0.0]) for i in range(20)] + [(20, 0, [0.0, 0.0, -2.0, 0.0, 0.0, 0.0])]
+    poses = registration.solve_graph(21, edges)
+    return spark.createDataFrame([(k, *map(float, p[:3, 3])) for k, p in enumerate(poses)], "node int, x double, y double, z double")
