@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import decontaminate, exact_dedup, lm_score, near_dedup, packed_output, packing, secret_scan, substring_dedup, toxicity
+from beamframe.llm import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, packed_output, packing, secret_scan, substring_dedup, toxicity
 from beamframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
-_ALL = (op1_toxicity, op2_exact_dedup, op3_lm_score, op5_secret_scan, op6_packing, op7_packed_output, op8_near_dedup, op9_decontaminate, op10_substring_dedup)
+_ALL = (op1_toxicity, op2_exact_dedup, op3_lm_score, op4_line_dedup, op5_secret_scan, op6_packing, op7_packed_output, op8_near_dedup, op9_decontaminate, op10_substring_dedup)
 
 
 def queries() -> dict[str, Query]:
