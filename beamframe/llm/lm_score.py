@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Words, materialize, mix, slices, small_batches, words
+from beamframe.llm.common import SPACED_LOWER, Bits, Words, key_bits, materialize, mix, slices, small_batches, words
 
 VOCABULARY = 1 << 16
 BUCKETS = 22
@@ -132,6 +132,15 @@ def _score(known: pa.Array, target: np.ndarray, background: np.ndarray):  # noqa
     return run
 
 
+def _members(bits: Bits):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(bits.has(b.column("rid").to_numpy()))).select(["doc_id", "text"])
+
+    return run
+
+
 def lm_scores(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_bits, background_bits, difference."""
     small_batches(docs.sparkSession)
@@ -139,6 +148,9 @@ def lm_scores(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> Dat
     known = pa.array(vocabulary(texts, most), pa.string())
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     background = counts(texts, known)
-    target = counts(texts.join(materialize(good, "target-ids"), "doc_id", "left_semi"), known)
+    # most other texts are dropped before the shuffle; the join is exact, and the same at every size
+    good = materialize(good, "target-ids")
+    likely = docs.select(F.xxhash64("doc_id").alias("rid"), "doc_id", "text").mapInArrow(_members(key_bits(good.select(F.xxhash64("doc_id").alias("rid")), "rid")), texts.schema)
+    target = counts(likely.join(good.hint("merge"), "doc_id", "left_semi"), known)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(_score(known, target, background), f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, difference double")
