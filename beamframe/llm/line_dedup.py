@@ -130,7 +130,7 @@ def _send(order: np.ndarray, id_type: pa.DataType):  # noqa: ANN001, ANN202
             bucket = (mix(t) >> np.uint64(56)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             found, cuts = np.unique(bucket[by], return_index=True)
-            for i, o in zip(found.tolist(), np.split(by, cuts[1:]), strict=True):
+            for i, o in zip(found.tolist(), np.split(by, cuts[1:]) if len(found) else [], strict=True):
                 rows.append((i, 1, t[o].astype("<u8").tobytes(), key[one][line[o]].astype("<i8").tobytes(), n[line[o]].astype("<u4").tobytes(), place[o].astype("<u4").tobytes(), None, None))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), id_type, pa.int64()]

@@ -116,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = shingle_sets(b.column("text"))
         n = np.diff(offsets)
         on = np.flatnonzero(n)
-        m = minima(flat, np.append(offsets[:-1][on], offsets[-1]), max(BANDS * ROWS, PACKED)) if len(on) else np.zeros((0, BANDS * ROWS), np.uint32)
+        m = minima(flat, np.append(offsets[:-1][on], offsets[-1]), max(BANDS * ROWS, PACKED)) if len(on) else np.zeros((0, max(BANDS * ROWS, PACKED)), np.uint32)
         raw = flat.astype("<u8")
         node = [np.frombuffer(hashlib.blake2b(raw[a:z], digest_size=8).digest(), "<i8")[0] for a, z in zip(offsets[:-1][on], offsets[1:][on], strict=True)]
         nodes = np.zeros(len(n), np.int64)
