@@ -48,8 +48,15 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
     """The most frequent words of all documents, ties by the word; bounded by ``most`` short words."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # A threshold on the counts first, from a histogram of at most 1024 levels: a plain limit would send that many words of each task.
+    counts = materialize(docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, found = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["level"]):
+        least, found = r["level"], found + r["words"]
+        if found >= most:
+            break
+    return [r["word"] for r in counts.where(level >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _pairs(w: Words, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
