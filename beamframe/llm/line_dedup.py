@@ -4,14 +4,16 @@ A line's tokens are its distinct words, lower-cased. Lines are linked when
 100 * intersection >= PERCENT * union; of each group of linked lines only the
 earliest, by document id and line number, stays.
 
-1. Words of all lines are counted in a table of fixed size (by hash), the rarity
-   order: rare first, ties by hash. Collisions only change the order.
+1. Words of all lines are counted in a table of fixed size (by hash), which gives each
+   token its rarity level: rare first, ties by hash. Collisions only change the order.
 2. Equal token sets are one node. A node lists the first n - ceil(0.8 n) + 1 tokens
    of that order: linked sets share one of them (prefix filter). Prefixes travel
-   packed, by buckets of the token.
-3. A token that two nodes share links each to the token's smallest node (round 1) if
-   the length filter and the positional filter (what can still be shared behind the
-   two positions) allow it; full sets confirm it. Round 2 compares nodes of one token
+   packed, by buckets of the token, with a 128-bit parity sketch of the whole set.
+3. Nodes that share a token are candidates if the length filter, the positional filter
+   (what can still be shared behind the two places) and the sketch (sets that differ
+   in d bits differ in d tokens at least) allow it; full sets confirm them.
+4. A token with more than CROWD candidates a node is a crowd: there each node only
+   meets the token's smallest node first. A second round compares nodes of one crowd
    that are still in different groups, in blocks of bounded size, so a family of
    similar lines never becomes all its pairs.
 
@@ -24,6 +26,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, Words, key_bits, materialize, mix, raw, slices, small_batches, words
+from beamframe.llm.common import SPACED_LOWER, Bits, key_bits, materialize, mix, raw, slices, small_batches
 from beamframe.llm.components import components
 
 PERCENT = 80
@@ -39,30 +42,59 @@ PERCENT = 80
 RARITY = 20
 BUCKETS = 256
 BLOCK = 1024
-
-
-def lines(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """(words by line, text of each line, number of each line in its text, lines of each text); empty last lines aren't listed."""
+#: Nodes of a token that one vectorised step compares, and candidates a node from which on it is a crowd.
+LIST = 2048
+CROWD = 4
+
+#: Odd multipliers for polynomial hashes modulo 2**64, the second undoing the first, and a number for each byte.
+UP = 0x9E3779B97F4A7C15
+DOWN = pow(UP, -1, 1 << 64)
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, log2: int) -> np.ndarray:
+    out = np.full(1 << log2, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each word, 64-bit hash of each word, lower-cased) of the texts that ``off`` cuts ``data`` into."""
+    to, is_word = SPACED_LOWER
+    inside = is_word[data]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edge[::2], edge[1::2]
+    cuts = np.unique(off[(off > 0) & (off < len(data))])
+    cuts = cuts[inside[cuts - 1] & inside[cuts]]
+    if len(cuts):
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    log2 = max(16, int(len(data)).bit_length())
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[to][data] * _powers(UP, log2)[: len(data)], out=total[1:])
+    return starts, mix((total[ends] - total[starts]) * _powers(DOWN, log2)[starts] + (ends - starts).astype(np.uint64))
+
+
+def token_sets(texts: pa.Array, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens of all lines, in rarity order in each; offsets; text of each line; number of each line in its text; lines of each text).
+
+    A token is its level, then 56 bits of its hash. Empty last lines aren't listed.
+    """
     data, off = raw(texts)
     breaks = np.flatnonzero(data == 10)
     cuts = np.unique(np.concatenate([off, breaks + 1]))
-    each = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-    start = cuts[:-1]
-    doc = np.searchsorted(off, start, side="right") - 1
-    number = np.searchsorted(breaks, start) - np.searchsorted(breaks, off[doc])
-    return words(each, SPACED_LOWER), doc, number, np.diff(np.searchsorted(breaks, off)) + 1
-
-
-def token_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct token hashes of all lines, sorted in each; offsets)."""
-    h = w.hashes().copy()
-    for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):
+    doc = np.searchsorted(off, cuts[:-1], side="right") - 1
+    number = np.searchsorted(breaks, cuts[:-1]) - np.searchsorted(breaks, off[doc])
+    starts, h = word_hashes(data, off)
+    h = (level[(h >> np.uint64(64 - RARITY)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    at = np.searchsorted(starts, cuts)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         h[a:b].sort()
-    line = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.offsets))
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][at[:-1] < len(h)]] = True
     count = np.concatenate([[0], np.cumsum(new)])
-    return h[new], count[w.offsets]
+    return h[new], count[at], doc, number, np.diff(np.searchsorted(breaks, off)) + 1
 
 
 def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,10 +104,29 @@ def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(np.diff(offsets) > 0, key, 0)
 
 
+def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each set: the parity of its tokens at each of 128 places."""
+    place = (h * np.uint64(UP)) >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
+    for k in (0, 1):
+        parity = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)))])
+        out[:, k] = parity[offsets[1:]] ^ parity[offsets[:-1]]
+    return out
+
+
+def possible(n: np.ndarray, place: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """Length, positional and sketch filter of sets of n and m tokens that share the token at these places."""
+    least = PERCENT * (n + m)
+    behind = np.minimum(n - place, m - other) + np.minimum(place, other)
+    differ = np.bitwise_count(sketch ^ its).sum(axis=1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * behind >= least) & ((100 + PERCENT) * ((n + m - differ) // 2) >= least)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << RARITY, np.int64)
     for b in slices(batches, "text"):
-        table += np.bincount((words(b.column("text"), SPACED_LOWER).hashes() >> np.uint64(64 - RARITY)).astype(np.int64), minlength=1 << RARITY)
+        table += np.bincount((word_hashes(*raw(b.column("text")))[1] >> np.uint64(64 - RARITY)).astype(np.int64), minlength=1 << RARITY)
     step = 1 << 14
     for at in range(0, len(table), step):
         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([table[at : at + step].astype("<u4").tobytes()], pa.binary())], names=["at", "n"])
@@ -91,99 +142,136 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
+    """The level of each entry: an eighth of a power of two of its count, 0 for a word that stands once in all texts."""
     out = np.zeros(1 << RARITY, np.uint32)
     for r in texts.select("text").mapInArrow(_count, "at long, n binary").repartition("at").mapInArrow(_sum, "at long, n binary").toLocalIterator():
         out[r["at"] : r["at"] + len(r["n"]) // 4] = np.frombuffer(r["n"], "<u4")
-    return out
+    return np.minimum(255, np.log2(np.maximum(out, 1)) * 8).astype(np.uint8)
 
 
-_SENT = "bucket int, kind int, a binary, b binary, c binary, d binary, doc {id}, lines long"
+#: Kind 0 packs node digests (node) and line numbers (n) of a text; kind 1 packs prefix entries of one bucket.
+_SENT = "bucket int, kind int, token binary, node binary, n binary, place binary, sketch binary, doc {id}, lines long"
 
 
-def _send(order: np.ndarray, id_type: pa.DataType):  # noqa: ANN001, ANN202
+def _send(level: np.ndarray, id_type: pa.DataType):  # noqa: ANN202
     """Occurrences of lines (kind 0, one row per text) and prefixes (kind 1, one row per slice and bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            w, doc, number, total = lines(b.column("text"))
-            h, off = token_sets(w)
+            h, off, doc, number, total = token_sets(b.column("text"), level)
             key = set_keys(h, off)
             rows: list[tuple] = []
             first = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids = b.column("doc_id").to_pylist()
+            spread = (mix(np.arange(b.num_rows).astype(np.uint64) + key[:1].sum().view(np.uint64)) % np.uint64(BUCKETS)).tolist()
             for d in range(b.num_rows):
                 at = np.arange(first[d], first[d + 1])
                 at = at[key[at] != 0]
-                bucket = int(mix(np.array([len(at), int(key[at].sum()) if len(at) else d]).astype(np.uint64))[1] % np.uint64(BUCKETS))
-                rows.append((bucket, 0, key[at].astype("<i8").tobytes(), number[at].astype("<u4").tobytes(), None, None, ids[d], int(total[d])))
+                rows.append((spread[d], 0, None, key[at].astype("<i8").tobytes(), number[at].astype("<u4").tobytes(), None, None, ids[d], int(total[d])))
             _, one = np.unique(key, return_index=True)
             one = one[key[one] != 0]
             n = np.diff(off)[one]
+            sketch = sketches(h, off)[one]
             prefix = n - -(-PERCENT * n // 100) + 1
-            flat = np.repeat(off[one], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            line = np.repeat(np.arange(len(one)), n)
-            t = h[flat]
-            by = np.lexsort((t, order[(t >> np.uint64(64 - RARITY)).astype(np.int64)], line))
-            place = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
-            keep = place < prefix[line]
-            t, line, place = t[by][keep], line[keep], place[keep]
+            line = np.repeat(np.arange(len(one)), prefix)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            t = h[off[one][line] + place]
+            shared = t >> np.uint64(56) > 0  # the others stand in this line alone
+            t, line, place = t[shared], line[shared], place[shared]
             bucket = (mix(t) >> np.uint64(56)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             found, cuts = np.unique(bucket[by], return_index=True)
             for i, o in zip(found.tolist(), np.split(by, cuts[1:]) if len(found) else [], strict=True):
-                rows.append((i, 1, t[o].astype("<u8").tobytes(), key[one][line[o]].astype("<i8").tobytes(), n[line[o]].astype("<u4").tobytes(), place[o].astype("<u4").tobytes(), None, None))
+                x = line[o]
+                rows.append((i, 1, t[o].astype("<u8").tobytes(), key[one][x].astype("<i8").tobytes(), n[x].astype("<u4").tobytes(), place[o].astype("<u4").tobytes(), sketch[x].astype("<u8").tobytes(), None, None))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), id_type, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "a", "b", "c", "d", "doc", "lines"])
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, id_type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
 
     return run
 
 
-_MET = "kind int, doc {id}, lines long, keys array<long>, numbers array<int>, token long, node long, hub long, n int, place int, hub_n int, hub_place int"
+#: Kind 0: occurrences; kind 1: candidates node and other; kind 2: the nodes of crowds.
+_MET = "kind int, doc {id}, lines long, keys array<long>, numbers array<int>, node long, other long, token long, n int, place int, low long, high long"
+
+
+def _candidates(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left entries, right entries, entries of crowds), of entries sorted by token and n."""
+    _, first, size = np.unique(token, return_index=True, return_counts=True)
+    of = np.repeat(np.arange(len(size)), size)
+    rank = (of.astype(np.int64) << 32) + n
+    ahead = np.searchsorted(rank, (of.astype(np.int64) << 32) + np.minimum(100 * n // PERCENT, (1 << 32) - 1), side="right") - np.arange(len(n)) - 1
+    ahead[size[of] > LIST] = 0
+    work = np.concatenate([[0], np.cumsum(ahead)])[np.append(first, len(n))]
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + (1 << 20), side="right")) - 1)
+        a, z = first[lo], first[hi - 1] + size[hi - 1]
+        more = ahead[a:z]
+        i = np.repeat(np.arange(a, z), more)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+        ok = possible(n[i], place[i], sketch[i], n[j], place[j], sketch[j])
+        i, j = i[ok], j[ok]
+        crowd = (np.bincount(of[i] - lo, minlength=hi - lo) > CROWD * size[lo:hi]) | (size[lo:hi] > LIST)
+        few = ~crowd[of[i] - lo]
+        inside = np.arange(a, z)[crowd[of[a:z] - lo]]
+        i, j = i[few], j[few]
+        if len(inside):
+            by = inside[np.lexsort((node[inside], of[inside]))]
+            new = np.append(True, of[by][1:] != of[by][:-1])
+            hub = by[new][np.cumsum(new) - 1]
+            ok = (hub != by) & possible(n[hub], place[hub], sketch[hub], n[by], place[by], sketch[by])
+            i, j = np.concatenate([i, hub[ok]]), np.concatenate([j, by[ok]])
+        yield i, j, inside
+        lo = hi
 
 
 def _meet(id_type: pa.DataType):  # noqa: ANN202
-    """Occurrences go on (kind 0); of the prefixes only tokens that several nodes share (kind 1), with their smallest node."""
+    """Occurrences go on (kind 0); of the prefixes only candidates (kind 1) and crowds (kind 2)."""
+    names = [c.split()[0] for c in _MET.split(", ")]
+    kinds = dict(zip(names, [pa.int32(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True))
+
+    def batch(kind: int, m: int, **columns: object) -> pa.RecordBatch:
+        columns["kind"] = np.full(m, kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _MET.split(", ")]
-        kinds = [pa.int32(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "n", "place", "sketch")}
         for b in batches:
             rows = b.filter(pc.equal(b.column("kind"), 0))
             if rows.num_rows:
-                k = [np.frombuffer(x, "<i8") for x in rows.column("a").to_pylist()]
-                m = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows.column("b").to_pylist()]
-                none = lambda t: pa.nulls(rows.num_rows, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([rows.column("kind"), rows.column("doc"), rows.column("lines"), pa.array(k, kinds[3]), pa.array(m, kinds[4]), *map(none, kinds[5:])], names=names)
+                keys = [np.frombuffer(x, "<i8") for x in rows.column("node").to_pylist()]
+                numbers = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows.column("n").to_pylist()]
+                yield batch(0, rows.num_rows, doc=rows.column("doc"), lines=rows.column("lines"), keys=keys, numbers=numbers)
             rest = b.filter(pc.equal(b.column("kind"), 1))
-            for c, t, h in zip("abcd", ("<u8", "<i8", "<u4", "<u4"), held, strict=True):
+            for (c, h), t in zip(held.items(), ("<u8", "<i8", "<u4", "<u4", "<u8"), strict=True):
                 h += [np.frombuffer(x, t) for x in rest.column(c).to_pylist()]
-        if not held[0]:
+        if not held["token"]:
             return
-        token, node, n, place = (np.concatenate(h) for h in held)
-        by = np.lexsort((node, token))
-        token, node, n, place = token[by], node[by], n[by], place[by]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n, place = token[new], node[new], n[new], place[new]
-        ids, first, size = np.unique(token, return_index=True, return_counts=True)
-        hub = np.repeat(first, size)
-        keep = np.repeat(size > 1, size)
-        out = [token.view(np.int64), node, node[hub], n.astype(np.int32), place.astype(np.int32), n[hub].astype(np.int32), place[hub].astype(np.int32)]
-        out = [x[keep] for x in out]
-        for at in range(0, len(out[0]), 1 << 16):
-            part = [pa.array(x[at : at + (1 << 16)]) for x in out]
-            m = len(part[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *[pa.nulls(m, t) for t in kinds[1:5]], *part], names=names)
+        token, node, n, place, sketch = (np.concatenate(h) for h in held.values())
+        held.clear()
+        by = np.lexsort((node, n, token))
+        new = np.append(True, (token[by][1:] != token[by][:-1]) | (node[by][1:] != node[by][:-1]))
+        by = by[new]
+        token, node, n, place, sketch = token[by], node[by], n[by].astype(np.int64), place[by].astype(np.int64), sketch.reshape(-1, 2)[by]
+        for i, j, crowd in _candidates(token, node, n, place, sketch):
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            o = np.lexsort((b, a))
+            a, b = a[o], b[o]
+            if len(a):
+                o = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                yield batch(1, int(o.sum()), node=a[o], other=b[o])
+            if len(crowd):
+                s = sketch[crowd].view(np.int64)
+                yield batch(2, len(crowd), node=node[crowd], token=token[crowd].view(np.int64), n=n[crowd].astype(np.int32), place=place[crowd].astype(np.int32), low=s[:, 0], high=s[:, 1])
 
     return run
 
 
-def _sets(bits: Bits):  # noqa: ANN202
+def _sets(bits: Bits, level: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            h, off = token_sets(lines(b.column("text"))[0])
+            h, off, *_ = token_sets(b.column("text"), level)
             key = set_keys(h, off)
             _, one = np.unique(key, return_index=True)
             one = one[(key[one] != 0) & bits.has(key[one])]
@@ -204,30 +292,19 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    bits = key_bits(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))), "k")
-    sets = materialize(texts.select("text").mapInArrow(_sets(bits), "node long, full binary").groupBy("node").agg(F.first("full").alias("full")), "line-sets")
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     full = lambda s: sets.select(F.col("node").alias(s), F.col("full").alias(f"full_{s}"))
     return materialize(pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "full_a", "full_b").mapInArrow(_confirm, "a long, b long"), "line-links")
 
 
-def possible(n: str, place: str, m: str, other: str):  # noqa: ANN201
-    """Length filter and positional filter of two sets of n and m tokens that share one at these places of the order."""
-    small, large = F.least(n, m), F.greatest(n, m)
-    most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other)) + F.least(place, other)
-    return (100 * small >= PERCENT * large) & ((100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m)))
-
-
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(batches)
-    c = {x: t.column(x).to_numpy() for x in ("node", "root", "n", "place", "block", "i", "j")}
+    c = {x: t.column(x).to_numpy().astype(np.int64) for x in ("node", "root", "n", "place", "block", "i", "j")}
+    sketch = np.stack([t.column(x).to_numpy() for x in ("low", "high")], axis=1).view(np.uint64)
     left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
     for x in left:
         y = right[(c["root"][right] != c["root"][x])]
-        n, m = c["n"][x], c["n"][y]
-        most = np.minimum(n - c["place"][x], m - c["place"][y]) + np.minimum(c["place"][x], c["place"][y])
-        y = y[(100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))]
+        y = y[possible(c["n"][x], c["place"][x], sketch[x], c["n"][y], c["place"][y], sketch[y])]
         if len(y):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c["node"][y], c["node"][x])), pa.array(np.maximum(c["node"][y], c["node"][x]))], names=["a", "b"])
 
@@ -239,21 +316,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType
     arrow = pa.string() if kind.simpleString() == "string" else pa.int32() if kind.simpleString() == "int" else pa.int64()
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    order = rarity(texts)
+    level = rarity(texts)
     name = kind.simpleString()
-    sent = texts.mapInArrow(_send(order, arrow), _SENT.format(id=name)).repartition(BUCKETS, "bucket")
+    sent = texts.mapInArrow(_send(level, arrow), _SENT.format(id=name)).repartition(BUCKETS, "bucket")
     met = materialize(sent.mapInArrow(_meet(arrow), _MET.format(id=name)), "line-index")
-    shared = met.where("kind = 1").select("token", "node", "hub", "n", "place", "hub_n", "hub_place")
-    first = _links(shared.where((F.col("node") != F.col("hub")) & possible("n", "place", "hub_n", "hub_place")).select(F.col("hub").alias("a"), F.col("node").alias("b")), texts)
+    crowds = met.where("kind = 2").select("token", "node", "n", "place", "low", "high")
+    pairs = materialize(met.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(crowds.select(F.col("node").alias("k")))
+    sets = materialize(texts.select("text").mapInArrow(_sets(key_bits(wanted, "k"), level), "node long, full binary").groupBy("node").agg(F.first("full").alias("full")), "line-sets")
+    first = _links(pairs, sets)
 
     roots = materialize(components(first), "line-roots")
-    placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", "place", F.coalesce("root", "node").alias("root")), "line-placed")
-    mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("token", "size"), "line-mixed")
+    placed = materialize(crowds.join(roots, "node", "left").select("token", "node", "n", "place", "low", "high", F.coalesce("root", "node").alias("root")), "line-placed")
+    mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count(F.lit(1)).alias("size")).where("low_root != high_root").select("token", "size"), "line-mixed")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = placed.join(mixed, "token").select("token", "node", "root", "n", "place", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    split = placed.join(mixed, "token").select("token", "node", "root", "n", "place", "low", "high", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).select("token", "node", "root", "n", "place", "block", "p.i", "p.j")
-    second = _links(dealt.groupBy("token", "i", "j").applyInArrow(_across, "a long, b long"), texts)
+    dealt = split.withColumn("p", F.explode(own)).select("token", "node", "root", "n", "place", "low", "high", "block", "p.i", "p.j")
+    second = _links(materialize(dealt.groupBy("token", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "line-pairs"), sets)
 
     final = materialize(components(first.unionByName(second)), "line-groups")
     at = met.where("kind = 0").select("doc", F.posexplode("keys").alias("k", "node"), "numbers").select("doc", "node", F.col("numbers")[F.col("k")].alias("number"))
