@@ -228,3 +228,50 @@ def test_pipeline_stages(spark):
     assert decontaminate.decontaminate(flow["decontamination"], spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > n_words / 2").count() == 0
     packed = corpus_pipeline.run(spark, SF)
     assert ids(packed) == ids(flow["decontamination"])
+
+
+def test_candidates_are_all_or_crowds(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, (12, 30))
+    sets = []
+    for k in range(300):
+        s = base[k % 12].copy()
+        s[rng.integers(0, 30, rng.integers(0, 4))] = rng.integers(1, 1 << 62)
+        sets.append(np.unique(s).astype(np.uint64))
+    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    h = np.concatenate(sets)
+    sketch = line_dedup.sketches(h, off)
+    rows = sorted((int(t), len(s), k, p) for k, s in enumerate(sets) for p, t in enumerate(s[: len(s) - -(-80 * len(s) // 100) + 1]))
+    token = np.array([r[0] for r in rows], np.uint64)
+    n, node, place = (np.array(c) for c in zip(*[r[1:] for r in rows], strict=True))
+    linked = {(a, b) for a in range(300) for b in range(a) if 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(x))}
+    for crowd, most in ((4, 2048), (1000, 2048), (1000, 5)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        monkeypatch.setattr(line_dedup, "LIST", most)
+        pairs, crowds = set(), {}
+        for i, j, c in line_dedup._candidates(token, node, n, place, sketch[node]):
+            pairs |= {(max(a, b), min(a, b)) for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True)}
+            for t, k in zip(token[c].tolist(), node[c].tolist(), strict=True):
+                crowds.setdefault(t, set()).add(k)
+        assert all(p in pairs or any(p[0] in c and p[1] in c for c in crowds.values()) for p in linked)
+        assert (crowd == 1000 and most == 2048) != bool(crowds)
+
+
+def test_line_crowds_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(90):
+        family = [f"f{k % 3}x{i}" for i in range(24)] if k % 3 else [f"f1x{i}" for i in range(16)] + [f"g{i}" for i in range(8)]
+        family[rng.randrange(24)] = f"u{k}"
+        rows.append((k, " ".join(family) + "\n" + f"own{k} line"))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == line_dedup.brute_force(rows)
+
+
+def test_line_word_hashes():
+    texts = pa.array(["Ab ab", "ab\tc", None, "", "c", "é É", "x" * 70_000])
+    data, off = line_dedup.raw(texts)
+    starts, h = line_dedup.word_hashes(data, off)
+    words = [w for t in texts.to_pylist() for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()]
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(i))
