@@ -2,162 +2,271 @@
 
 The target model is counted on the documents that ``labels`` marks as good
 (quality 1), the background model on all documents. Both are bigram models over one
-vocabulary with the same smoothing: the VOCABULARY most frequent words of all
-documents, one id for any other word, one for the start of a text. Bigram counts sit
-in a table of 2**BUCKETS entries by a hash of the pair, limited by the counts of their
-two words, so a model has a fixed size whatever the corpus; the counting itself covers
-every word of every document and moves one table per task.
+vocabulary with the same smoothing: every word of all documents, one id for a word
+that was never seen, one for the start of a text. Nothing is cut: the tables of words
+and pairs grow with the corpus, and are never gathered in one place.
+
+1. Words are counted by the words themselves: V distinct words, and the tokens N and
+   texts of each model.
+2. Texts are packed in blocks. A block lists its distinct words and (h, w) pairs once,
+   as keys with its own counts, packed by buckets of the key.
+3. A bucket adds up each key's counts of both models over all blocks and answers each
+   block in the order of its keys, so a very common pair costs one entry a block.
+4. A block meets its answers and scores its texts.
+
+A key is a digest of 80 bits of the word or the pair, compared in full: of 10^10
+distinct keys, two share one with a probability of 4e-5.
 
 Per token the loss is -log2 p(w | h), p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU),
-p(w) = (c(w) + 1) / (N + V). A document's score is the mean loss under the target
+p(w) = (c(w) + 1) / (N + V + 1). A document's score is the mean loss under the target
 model less the mean loss under the background model: lower is closer to the target.
 
 Defined cases: null and blank texts have no tokens and score 0; null ids are scored
 and counted as background; several labels of one document count as the largest;
-rows that repeat an id are separate documents; words of more than 64 bytes are never
-in the vocabulary; without any target document both losses are those of smoothing
-alone for the target; other columns are never read; an empty table gives no rows.
+rows that repeat an id are separate documents; without any target document both losses
+are those of smoothing alone for the target; other columns are never read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, Words, key_bits, materialize, mix, slices, small_batches, words
+from beamframe.llm.common import SPACED_LOWER, Bits, key_bits, materialize, mix, raw, slices, small_batches, words
 
-VOCABULARY = 1 << 16
-BUCKETS = 22
 MU = 200.0
-LONGEST_WORD = 64
-BLOCK = 1 << 14
+#: Bytes of text of a block, unless one text is longer.
+BLOCK_BYTES = 20 << 20
+#: Keys of the two hashes of a word, and what sets words and pairs apart.
+HASH_KEYS = ("beamframe-words1", "beamframe-words2")
+WORD, START = np.uint64(0x57), np.uint64(0x5354415254)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, gathered to about BLOCK_BYTES of text each."""
+    held, size = [], 0
     for b in slices(batches, "text"):
-        c = words(b.column("text"), SPACED_LOWER).flat.value_counts()
-        word, n = c.field("values"), c.field("counts")
-        short = pc.less_equal(pc.binary_length(word), LONGEST_WORD)
-        yield pa.RecordBatch.from_arrays([word.filter(short), n.filter(short)], names=["word", "n"])
-
-
-def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all documents, ties by the word; bounded by ``most`` short words."""
-    # A threshold on the counts first, from a histogram of at most 1024 levels: a plain limit would send that many words of each task.
-    counts = materialize(docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    level = F.floor(F.log2("n") * 16).cast("int")
-    least, found = 0, 0
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["level"]):
-        least, found = r["level"], found + r["words"]
-        if found >= most:
-            break
-    return [r["word"] for r in counts.where(level >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def _pairs(w: Words, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, bucket of the pair) of each token; ids behind the vocabulary: any other word, start of text."""
-    v = len(known)
-    ids = pc.index_in(w.flat, value_set=known).fill_null(v).to_numpy().astype(np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = w.offsets[:-1][np.diff(w.offsets) > 0]
-    before[first] = v + 1
-    return ids, before, (mix((before * (v + 2) + ids).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
-
-
-def _count(known: pa.Array):  # noqa: ANN202
-    singles = len(known) + 2
+        n = len(raw(b.column("text"))[0])
+        if held and size + n > BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _squeeze(x: np.ndarray, kind: str) -> bytes:
+    """Numbers by the place of their bytes, compressed: the first bytes of sorted keys take next to nothing."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
 
+def _expand(x: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(x, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+_PACKED = "block string, docs array<{id}>, good binary, lengths binary, data binary, size long"
+
+
+def _pack(id_type: pa.DataType):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        for b in slices(batches, "text"):
-            ids, before, bucket = _pairs(words(b.column("text"), SPACED_LOWER), known)
-            if table is None:
-                table = np.zeros(singles + (1 << BUCKETS), np.int64)
-            table[:singles] += np.bincount(ids, minlength=singles)
-            table[len(known) + 1] += int((before == len(known) + 1).sum())
-            table[singles:] += np.bincount(bucket, minlength=1 << BUCKETS)
-        if table is not None:
-            for at in range(0, len(table), BLOCK):
-                part = table[at : at + BLOCK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()], pa.binary()), pa.array([len(part)])], names=["at", "counts", "size"])
+        for b in _blocks(batches):
+            data, off = raw(b.column("text"))
+            good = b.column("good").to_numpy(zero_copy_only=False)
+            row = (uuid.uuid4().hex, b.column("doc_id").to_pylist(), _squeeze(good, "u1"), _squeeze(np.diff(off), "<u4"), pa.compress(data.tobytes(), codec="zstd", asbytes=True), len(data))
+            kinds = [pa.string(), pa.list_(id_type), *[pa.binary()] * 3, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+class _Block(NamedTuple):
+    """Words of a block of texts: tokens and start of each text, number of each token's word and pair, the distinct words, and the two words of each pair."""
+
+    lengths: np.ndarray
+    starts: np.ndarray
+    code: np.ndarray
+    number: np.ndarray
+    distinct: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def _read(r: dict) -> _Block:
+    lengths = _expand(r["lengths"], "<u4", len(r["docs"]))
+    off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    data = pa.decompress(r["data"], r["size"], codec="zstd", asbytes=True)
+    w = words(pa.StringArray.from_buffers(len(lengths), pa.py_buffer(off), pa.py_buffer(data)), SPACED_LOWER)
+    code, distinct = w.encoded()
+    code, v, n = code.astype(np.int64), len(distinct), np.diff(w.offsets)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[w.offsets[:-1][n > 0]] = v  # the start of a text comes behind the words
+    pairs = pa.array(before * v + code).dictionary_encode()
+    return _Block(n, w.offsets, code, pairs.indices.to_numpy(), distinct, *np.divmod(pairs.dictionary.to_numpy(), max(v, 1)))
+
+
+def _keys(t: _Block, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, bounds of the buckets in it, first and second part of the keys in it) of the words, then of the pairs."""
+    hashes = [pd.util.hash_array(t.distinct.astype(object), hash_key=key, categorize=False) if len(t.distinct) else np.zeros(0, np.uint64) for key in HASH_KEYS]
+    out = []
+    for x, y in ([mix(h ^ WORD) for h in hashes], [mix(mix(np.append(h, START)[t.left]) + h[t.right]) for h in hashes]):
+        y = y >> np.uint64(48)
+        bucket = (mix(x) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((y, x, bucket))
+        out.append((order, np.searchsorted(bucket[order], np.arange(buckets + 1)), x[order], y[order]))
+    return out
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each block's words, all and those of target texts; the null word counts the texts with words."""
     for b in batches:
-        for at, c, size in zip(*(b.column(x).to_pylist() for x in ("at", "counts", "size")), strict=True):
-            part = np.frombuffer(c, "<u4" if len(c) == 4 * size else "<u8").astype(np.int64)
-            held[at] = held[at] + part if at in held else part
-    for at, part in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.astype("<u8").tobytes()], pa.binary()), pa.array([len(part)])], names=["at", "counts", "size"])
+        for r in b.to_pylist():
+            t = _read(r)
+            good = _expand(r["good"], "u1", len(r["docs"])).astype(bool)
+            mine = np.repeat(good, t.lengths)
+            v = len(t.distinct)
+            n = np.append(np.bincount(t.code, minlength=v), (t.lengths > 0).sum())
+            own = np.append(np.bincount(t.code[mine], minlength=v), (t.lengths[good] > 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([*t.distinct.tolist(), None], pa.string()), pa.array(n), pa.array(own)], names=["word", "n", "own"])
 
 
-_TABLE = "at long, counts binary, size long"
+def totals(blocks: DataFrame) -> tuple[int, dict[str, tuple[int, int]]]:
+    """(distinct words of all texts, tokens and texts with words of each model)."""
+    counts = blocks.mapInArrow(_word_counts, "word string, n long, own long").groupBy("word").agg(F.sum("n").alias("background"), F.sum("own").alias("target"))
+    found = [F.coalesce(F.sum(F.when(F.col("word").isNotNull() if word else F.col("word").isNull(), F.col(m))), F.lit(0)) for m in ("target", "background") for word in (True, False)]
+    v, *r = counts.agg(F.count("word"), *found).first()
+    return v, {"target": (r[0], r[1]), "background": (r[2], r[3])}
 
 
-def counts(texts: DataFrame, known: pa.Array) -> np.ndarray:
-    """Counts of single ids, then of pair buckets; the driver gets one table of fixed size."""
-    out = np.zeros(len(known) + 2 + (1 << BUCKETS), np.uint32)
-    parts = texts.select("text").mapInArrow(_count(known), _TABLE).repartition("at").mapInArrow(_add, _TABLE)
-    for r in parts.toLocalIterator():
-        out[r["at"] : r["at"] + r["size"]] = np.minimum(np.frombuffer(r["counts"], "<u8"), 0xFFFFFFFF)
-    return out
+#: A block's words (kind 1) or pairs (kind 2) of a bucket: keys, and counts in all texts and in target texts.
+_SENT = "block string, kind int, bucket int, n int, first binary, second binary, background binary, target binary"
+
 
+def _send(buckets: int):  # noqa: ANN202
+    kinds = [pa.string(), *[pa.int32()] * 3, *[pa.binary()] * 4]
+    names = [c.split()[0] for c in _SENT.split(", ")]
 
-def losses(table: np.ndarray, v: int, ids: np.ndarray, before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """-log2 p of each token under the model of a table of counts."""
-    single = table[: v + 2].astype(np.float64)
-    total = single[: v + 1].sum()
-    c, h = single[ids], single[before]
-    both = np.minimum(table[v + 2 :][bucket], np.minimum(c, h))
-    return -np.log2((both + MU * (c + 1) / (total + v + 1)) / (h + MU))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                t = _read(r)
+                mine = np.repeat(_expand(r["good"], "u1", len(r["docs"])).astype(bool), t.lengths)
+                rows: list[tuple] = []
+                for kind, number, (order, cuts, x, y) in zip((1, 2), (t.code, t.number), _keys(t, buckets), strict=True):
+                    counts = [np.bincount(c, minlength=len(order))[order] for c in (number, number[mine])]
+                    for i in np.flatnonzero(np.diff(cuts)).tolist():
+                        at = slice(cuts[i], cuts[i + 1])
+                        rows.append((r["block"], kind, i, int(cuts[i + 1] - cuts[i]), _squeeze(x[at], "<u8"), _squeeze(y[at], "<u2"), *[_squeeze(c[at], "<u8") for c in counts]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    return run
 
-def _score(known: pa.Array, target: np.ndarray, background: np.ndarray):  # noqa: ANN202
-    v = len(known)
+
+_ANSWER = "block string, kind int, bucket int, n int, background binary, target binary"
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's keys of a bucket come back as their counts over all blocks."""
+    held = [r for b in batches for r in b.to_pylist()]
+    if not held:
+        return
+    first, second, *counts = (np.concatenate([_expand(r[c], k, r["n"]) for r in held]) for c, k in (("first", "<u8"), ("second", "<u2"), ("background", "<u8"), ("target", "<u8")))
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    models = []
+    for c in counts:
+        total = np.empty(len(order), np.uint64)
+        total[order] = np.repeat(np.add.reduceat(c[order], np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(order))))
+        models.append(total)
+    z = 0
+    for r in held:
+        a, z = z, z + r["n"]
+        row = (r["block"], r["kind"], r["bucket"], r["n"], *[_squeeze(m[a:z], "<u8") for m in models])
+        kinds = [pa.string(), *[pa.int32()] * 3, *[pa.binary()] * 2]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def losses(v: int, tokens: int, both: np.ndarray, c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """-log2 p of each pair by its count, its word's and that of the word before."""
+    return -np.log2((both + MU * (c + 1) / (tokens + v + 1)) / (h + MU))
+
+
+def _score(v: int, sizes: dict[str, tuple[int, int]], buckets: int):  # noqa: ANN202
+    """``sizes``: tokens and texts of each model."""
+
+    def scored(text: dict, parts: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
+        t = _read(text)
+        parts.sort(key=lambda r: (r["kind"], r["bucket"]))
+        keys = _keys(t, buckets)
+        mean = []
+        for model, (tokens, texts) in sizes.items():
+            counts = []
+            for kind, (order, *_) in zip((1, 2), keys, strict=True):
+                c = np.empty(len(order))
+                c[order] = np.concatenate([np.zeros(0), *[_expand(r[model], "<u8", r["n"]) for r in parts if r["kind"] == kind]])
+                counts.append(c)
+            single, both = counts
+            total = np.concatenate([[0], np.cumsum(losses(v, tokens, both, single[t.right], np.append(single, texts)[t.left])[t.number])])
+            mean.append((total[t.starts[1:]] - total[t.starts[:-1]]) / np.maximum(t.lengths, 1))
+        return pa.RecordBatch.from_arrays([pa.array(text["docs"], id_type), pa.array(t.lengths), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            w = words(b.column("text"), SPACED_LOWER)
-            n = np.diff(w.offsets)
-            pairs = _pairs(w, known)
-            mean = []
-            for table in (target, background):
-                total = np.concatenate([[0], np.cumsum(losses(table, v, *pairs))])
-                mean.append((total[w.offsets[1:]] - total[w.offsets[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference"])
+        texts: dict[str, dict] = {}
+        parts: dict[str, list[dict]] = {}
+        id_type = pa.int64()
+        for b in batches:
+            id_type = b.schema.field("docs").type.value_type
+            for r in b.to_pylist():
+                if r["kind"] is None:
+                    texts[r["block"]] = r
+                else:
+                    parts.setdefault(r["block"], []).append(r)
+        for name in list(texts):
+            yield scored(texts.pop(name), parts.pop(name, []), id_type)
 
     return run
 
 
-def _members(bits: Bits):  # noqa: ANN202
+def _members(bits: Bits, wanted: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(bits.has(b.column("rid").to_numpy()))).select(["doc_id", "text"])
+                yield b.filter(pa.array(bits.has(b.column("rid").to_numpy()) == wanted)).select(["doc_id", "text"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFrame:
+def lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_bits, background_bits, difference."""
-    small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    known = pa.array(vocabulary(texts, most), pa.string())
+    spark = docs.sparkSession
+    small_batches(spark)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    background = counts(texts, known)
-    # most other texts are dropped before the shuffle; the join is exact, and the same at every size
+    # most other texts are told apart before the shuffle; the join is exact, and the same at every size
     good = materialize(good, "target-ids")
-    likely = docs.select(F.xxhash64("doc_id").alias("rid"), "doc_id", "text").mapInArrow(_members(key_bits(good.select(F.xxhash64("doc_id").alias("rid")), "rid")), texts.schema)
-    target = counts(likely.join(good.hint("merge"), "doc_id", "left_semi"), known)
+    bits = key_bits(good.select(F.xxhash64("doc_id").alias("rid")), "rid")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_score(known, target, background), f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, difference double")
+    named = docs.select(F.xxhash64("doc_id").alias("rid"), "doc_id", "text")
+    likely, sure = (named.mapInArrow(_members(bits, x), f"doc_id {kind}, text string") for x in (True, False))
+    marked = likely.join(good.select(F.col("doc_id").alias("good_id")).hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    both = sure.select("doc_id", "text", F.lit(False).alias("good")).unionByName(marked)
+    blocks = materialize(both.mapInArrow(_pack(id_type), _PACKED.format(id=kind)), "lm-blocks")
+    v, sizes = totals(blocks)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = blocks.mapInArrow(_send(tasks), _SENT).repartition(tasks, "bucket").mapInArrow(_answer, _ANSWER)
+    met = blocks.unionByName(answers, allowMissingColumns=True).repartition(tasks, "block")
+    return met.mapInArrow(_score(v, sizes, tasks), f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, difference double")

@@ -198,6 +198,29 @@ def test_lm_against_counting(spark):
         assert r["target_bits"] == pytest.approx(bits(good, tokens[r["doc_id"]])) and r["background_bits"] == pytest.approx(bits(tokens, tokens[r["doc_id"]]))
 
 
+def test_lm_counts_every_word_and_pair(spark):
+    from collections import Counter
+
+    long = ["x" * 70 + str(k) for k in range(3)]
+    many = [f"w{k}" for k in range(70_000)]
+    rows = [(0, " ".join([*long, long[0]])), (1, " ".join(many)), (None, f"{long[1]} {many[-1]} {many[-2]}"), (1, f"{many[-3]} {many[-2]} a"), (2, f"{long[2]} {long[1]}")]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")).collect()
+    tokens = [t.split() for _, t in rows]
+    v = len({w for t in tokens for w in t})
+    want = []
+    models = []
+    for chosen in ([0, 1, 3], range(5)):
+        one, two = Counter(), Counter()
+        for k in chosen:
+            one.update(["<s>", *tokens[k]])
+            two.update(zip(["<s>", *tokens[k]], tokens[k]))
+        models.append((one, two, sum(one.values()) - one["<s>"]))
+    for (i, _), t in zip(rows, tokens, strict=True):
+        want.append((i or -1, len(t), *[np.mean([-np.log2((two[h, w] + lm_score.MU * (one[w] + 1) / (n + v + 1)) / (one[h] + lm_score.MU)) for h, w in zip(["<s>", *t], t)]) for one, two, n in models]))
+    for g, w in zip(sorted((r["doc_id"] or -1, r["n_tokens"], r["target_bits"], r["background_bits"]) for r in got), sorted(want), strict=True):
+        assert g == pytest.approx(w)
+
+
 def test_secret_spans(spark):
     text = "é token = abcdefghijklm, TOKEN:token:abcdefghijklmnop 0123456789abcdef AKIA" + "B" * 14
     r = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
