@@ -1,8 +1,9 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct words, lower-cased. Lines are linked when
-100 * intersection >= PERCENT * union; of each group of linked lines only the
-earliest, by document id and line number, stays.
+100 * intersection >= PERCENT * union. A line goes if a line before it, by document id
+and line number, is linked to it. Each document returns its linked lines, with the
+class (connected component) and the number of links of each.
 
 1. Words of all lines are counted in a table of fixed size (by hash), which gives each
    token its rarity level: rare first, ties by hash. Collisions only change the order.
@@ -12,14 +13,14 @@ earliest, by document id and line number, stays.
 3. Nodes that share a token are candidates if the length filter, the positional filter
    (what can still be shared behind the two places) and the sketch (sets that differ
    in d bits differ in d tokens at least) allow it; full sets confirm them.
-4. A token with more than CROWD candidates a node is a crowd: there each node only
-   meets the token's smallest node first. A second round compares nodes of one crowd
-   that are still in different groups, in blocks of bounded size, so a family of
-   similar lines never becomes all its pairs.
+4. A token with more than CROWD candidates a node, or more than LIST nodes, is a crowd:
+   its nodes are compared in blocks of bounded size, every block with every other.
+   So no pair is left out; a family of similar lines becomes all its pairs.
 
 Defined cases: null text counts as empty; a line without words is never removed; a
 null id comes before all others; lines of rows that repeat an id and stand at the
-same number tie, and stay together; other columns are ignored; an empty table gives
+same number tie, and stay together; rows that repeat an id share their lines' verdicts
+and links; other columns are ignored; an empty table gives
 no rows.
 """
 
@@ -216,12 +217,6 @@ def _candidates(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
         few = ~crowd[of[i] - lo]
         inside = np.arange(a, z)[crowd[of[a:z] - lo]]
         i, j = i[few], j[few]
-        if len(inside):
-            by = inside[np.lexsort((node[inside], of[inside]))]
-            new = np.append(True, of[by][1:] != of[by][:-1])
-            hub = by[new][np.cumsum(new) - 1]
-            ok = (hub != by) & possible(n[hub], place[hub], sketch[hub], n[by], place[by], sketch[by])
-            i, j = np.concatenate([i, hub[ok]]), np.concatenate([j, by[ok]])
         yield i, j, inside
         lo = hi
 
@@ -298,19 +293,23 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidate pairs of one block pair of a crowd."""
     t = pa.Table.from_batches(batches)
-    c = {x: t.column(x).to_numpy().astype(np.int64) for x in ("node", "root", "n", "place", "block", "i", "j")}
+    c = {x: t.column(x).to_numpy().astype(np.int64) for x in ("node", "n", "place", "block", "i", "j")}
     sketch = np.stack([t.column(x).to_numpy() for x in ("low", "high")], axis=1).view(np.uint64)
     left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
     for x in left:
-        y = right[(c["root"][right] != c["root"][x])]
+        y = right[c["node"][right] > c["node"][x]] if c["i"][0] == c["j"][0] else right
         y = y[possible(c["n"][x], c["place"][x], sketch[x], c["n"][y], c["place"][y], sketch[y])]
         if len(y):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c["node"][y], c["node"][x])), pa.array(np.maximum(c["node"][y], c["node"][x]))], names=["a", "b"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, in order)."""
+    """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, in order), n_links, links.
+
+    ``links`` lists each line that any other line is linked to, equal ones included: its number, class and number of such lines.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType
@@ -321,31 +320,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sent = texts.mapInArrow(_send(level, arrow), _SENT.format(id=name)).repartition(BUCKETS, "bucket")
     met = materialize(sent.mapInArrow(_meet(arrow), _MET.format(id=name)), "line-index")
     crowds = met.where("kind = 2").select("token", "node", "n", "place", "low", "high")
-    pairs = materialize(met.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(crowds.select(F.col("node").alias("k")))
-    sets = materialize(texts.select("text").mapInArrow(_sets(key_bits(wanted, "k"), level), "node long, full binary").groupBy("node").agg(F.first("full").alias("full")), "line-sets")
-    first = _links(pairs, sets)
-
-    roots = materialize(components(first), "line-roots")
-    placed = materialize(crowds.join(roots, "node", "left").select("token", "node", "n", "place", "low", "high", F.coalesce("root", "node").alias("root")), "line-placed")
-    mixed = materialize(placed.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count(F.lit(1)).alias("size")).where("low_root != high_root").select("token", "size"), "line-mixed")
+    sizes = crowds.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = placed.join(mixed, "token").select("token", "node", "root", "n", "place", "low", "high", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    split = crowds.join(sizes, "token").select("token", "node", "n", "place", "low", "high", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).select("token", "node", "root", "n", "place", "low", "high", "block", "p.i", "p.j")
-    second = _links(materialize(dealt.groupBy("token", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "line-pairs"), sets)
-
-    final = materialize(components(first.unionByName(second)), "line-groups")
-    at = met.where("kind = 0").select("doc", F.posexplode("keys").alias("k", "node"), "numbers").select("doc", "node", F.col("numbers")[F.col("k")].alias("number"))
-    where = at.join(final, "node", "left").select("doc", "number", F.coalesce("root", "node").alias("root"))
-    where = materialize(where, "line-places")
-    earliest = materialize(where.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc").isNotNull(), F.lit(False)).alias("has"), F.col("doc"), F.col("number"))).alias("e"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "e.doc", "e.number"), "line-first")
-    later = where.join(earliest.select("root", F.col("doc").alias("first_doc"), F.col("number").alias("first_number")), "root")
-    later = later.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("number") == F.col("first_number"))))
-    gone = materialize(later.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("removed")), "line-gone")
-    out = met.where("kind = 0").select("doc", "lines").join(gone.withColumnRenamed("doc", "gone_doc"), F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("lines").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    dealt = split.withColumn("p", F.explode(own)).select("token", "node", "n", "place", "low", "high", "block", "p.i", "p.j")
+    crossed = dealt.groupBy("token", "i", "j").applyInArrow(_across, "a long, b long")
+    pairs = materialize(met.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(crossed).distinct(), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
+    sets = materialize(texts.select("text").mapInArrow(_sets(key_bits(wanted, "k"), level), "node long, full binary").groupBy("node").agg(F.first("full").alias("full")), "line-sets")
+    links = _links(pairs, sets)
+
+    at = met.where("kind = 0").select("doc", F.posexplode("keys").alias("k", "node"), "numbers")
+    where = at.select("node", F.struct(F.col("doc").isNotNull().alias("has"), "doc", F.col("numbers")[F.col("k")].alias("number")).alias("line"))
+    nodes = materialize(where.groupBy("node").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("size")), "line-nodes")
+    sides = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = sides.join(nodes.select(F.col("node").alias("other"), "first", "size"), "other").groupBy("node").agg(F.min("first").alias("near_first"), F.sum("size").alias("near_size"))
+    linked = nodes.join(near, "node", "left").where("size > 1 or near_size is not null").join(components(links), "node", "left")
+    linked = linked.select("node", F.least("first", "near_first").alias("first"), (F.col("size") - 1 + F.coalesce("near_size", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("class"))
+    found = where.join(materialize(linked, "line-linked"), "node").select("line.doc", F.struct("line.number", "class", "links").alias("link"), (F.col("line") > F.col("first")).alias("later"))
+    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("later"), F.col("link.number")))).alias("removed"), F.array_sort(F.collect_set("link")).alias("links"))
+    out = met.where("kind = 0").select("doc", "lines").join(materialize(by_doc, "line-gone").withColumnRenamed("doc", "gone_doc"), F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
+    removed, every = F.coalesce("removed", F.array().cast("array<int>")), F.coalesce("links", F.array().cast("array<struct<number:int,class:bigint,links:bigint>>"))
+    n_links = F.aggregate(every, F.lit(0).cast("long"), lambda n, x: n + x["links"])
+    return out.select(F.col("doc").alias("doc_id"), F.col("lines").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), n_links.alias("n_links"), every.alias("links"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, list[int]]:

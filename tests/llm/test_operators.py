@@ -291,6 +291,23 @@ def test_line_crowds_against_brute_force(spark):
     assert {r["doc_id"]: r["removed"] for r in got} == line_dedup.brute_force(rows)
 
 
+def test_only_lines_after_a_linked_one_go(spark, monkeypatch):
+    span = lambda a, z: " ".join(f"w{i}" for i in range(a, z))
+    rng = random.Random(6)
+    rows = [(1, span(1, 10)), (2, span(3, 12)), (3, span(2, 11)), (4, span(3, 12) + "\nalone")]
+    rows += [(k, " ".join(f"f{i}" if rng.random() < 0.9 else f"g{rng.randrange(40)}" for i in range(20))) for k in range(5, 90)]
+    lines = [(d, n, frozenset(x.split())) for d, t in rows for n, x in enumerate(t.split("\n"))]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(lines[a][2] & lines[b][2]) >= 80 * len(lines[a][2] | lines[b][2])]
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[2]["removed"], got[3]["removed"], got[4]["removed"]) == ([], [0], [0])
+    for d, _ in rows:
+        assert got[d]["removed"] == sorted({lines[a][1] for a, _ in pairs if lines[a][0] == d})
+        assert got[d]["n_links"] == sum((lines[a][0] == d) + (lines[b][0] == d) for a, b in pairs)
+    classes = {d: {x["number"]: x["class"] for x in r["links"]} for d, r in got.items()}
+    assert all(classes[lines[a][0]][lines[a][1]] == classes[lines[b][0]][lines[b][1]] for a, b in pairs)
+
+
 def test_line_word_hashes():
     texts = pa.array(["Ab ab", "ab\tc", None, "", "c", "é É", "x" * 70_000])
     data, off = line_dedup.raw(texts)
