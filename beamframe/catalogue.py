@@ -513,9 +513,12 @@ def q_clusters(spark, sf):
 
 @query()
 def q_icp(spark, sf):
-    target = cloud(spark, sf).where("l_linenumber <= 2").select(F.monotonically_increasing_id().alias("id"), *[F.col(a).alias(a) for a in "xyz"])
+    target = cloud(spark, sf).select(F.monotonically_increasing_id().alias("id"), "x", "y", "z")
     source = projection.transform(target, [1.0, 0.0, 0.0, 0.05, 0.0, 1.0, 0.0, -0.04, 0.0, 0.0, 1.0, 0.03, 0.0, 0.0, 0.0, 1.0])
-    pose = registration.align(source, target, 2.0, 1.0, iterations=5)
+    box = target.agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
+    # the edge of a cell that holds one point of an even cloud, but more than the shift of 0.07
+    reach = max(0.1, (box["x"] * box["y"] * box["z"] / box["n"]) ** (1 / 3)) if box["n"] else 0.1
+    pose = registration.align(source, target, reach, 1.0)
     return spark.createDataFrame([(i, j, float(pose[i, j])) for i in range(4) for j in range(4)], "r int, c int, v double")
 
 

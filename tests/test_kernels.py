@@ -108,6 +108,40 @@ def test_clusters_and_equalisation():
     assert out.shape == (32, 64) and 0 <= out.min() and out.max() <= 1.0001
 
 
+def test_align_against_brute_force(spark):
+    own = np.random.default_rng(7)
+    q = own.uniform(-3, 3, (150, 3))
+    p = (q - [0.1, -0.05, 0.08]) @ rigid.pose_exp(np.array([0.01, -0.02, 0.03, 0, 0, 0]))[:3, :3]
+    frame = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id long, x double, y double, z double")
+    want = np.eye(4)
+    for _ in range(30):
+        moved = p @ want[:3, :3].T + want[:3, 3]
+        d2 = ((moved[:, None] - q[None]) ** 2).sum(axis=2)
+        near = d2.argmin(axis=1)
+        h, b = np.zeros((6, 6)), np.zeros(6)
+        for k in np.flatnonzero(d2.min(axis=1) < 1):
+            x, y, z = moved[k]
+            j = np.array([[1, 0, 0, 0, z, -y], [0, 1, 0, -z, 0, x], [0, 0, 1, y, -x, 0]])
+            r = moved[k] - q[near[k]]
+            w = (0.5 / (0.5 + r @ r)) ** 2
+            h, b = h + w * j.T @ j, b + w * j.T @ r
+        step = np.linalg.lstsq(h, -b, rcond=None)[0]
+        want = rigid.pose_exp(np.concatenate([step[3:], step[:3]])) @ want
+        if step @ step < 1e-8:
+            break
+    assert np.allclose(registration.align(frame(p), frame(q), 1.0, 0.5), want, atol=1e-6)
+
+
+def test_icp_query_takes_the_whole_cloud(spark, monkeypatch):
+    from beamframe import catalogue
+
+    seen = []
+    monkeypatch.setattr(registration, "align", lambda source, target, *a, **k: seen.append((source.count(), target.count(), target.select("id").distinct().count(), len(a), k)) or np.eye(4))
+    catalogue.queries()["q_icp"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert seen == [(n, n, n, 2, {})]
+
+
 def test_graph_closes_a_loop():
     quarter = [0.0, 0.0, np.pi / 2, 0.0, 0.0, 0.0]
     ahead = rigid.pose_log(rigid.pose_exp(np.array([0, 0, 0, 1.0, 0, 0])) @ rigid.pose_exp(np.array(quarter)))
