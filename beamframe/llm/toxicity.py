@@ -23,7 +23,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -165,7 +165,7 @@ _SCORED = "doc_id {id}, score double, n_toxic_words long, spans array<struct<sta
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _score(model: Model | None):  # noqa: ANN202
+def _score(model: Model | None, carry: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words(b.column("text"), ALNUM_LOWER)
@@ -185,14 +185,15 @@ def _score(model: Model | None):  # noqa: ANN202
                         a, z = int(w.starts[r[0]]), int(w.ends[r[-1]])
                         begin = int(np.count_nonzero(w.data[at:a] & 0xC0 != 0x80))
                         spans[d].append({"start": begin, "end": begin + int(np.count_nonzero(w.data[a:z] & 0xC0 != 0x80))})
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(count), pa.array(spans, _SPANS)], names=["doc_id", "score", "n_toxic_words", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(count), pa.array(spans, _SPANS), *[b.column(c) for c in carry]], names=["doc_id", "score", "n_toxic_words", "spans", *carry])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_toxic_words, spans (code points)."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, n_toxic_words, spans (code points), and the columns to carry."""
     small_batches(docs.sparkSession)
     model = fit(training_sample(docs, labels))
-    scored = docs.select(docs["doc_id"], docs["text"]).mapInArrow(_score(model), _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic_words", "spans")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    scored = docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInArrow(_score(model, list(carry)), _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()) + kinds)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic_words", "spans", *carry)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,26 +18,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents whose verdict says so; ``verdict`` has an id once at least."""
-    kept = verdict.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of id and text, ordered as ids are, null ids last."""
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("text").isNull().alias("no_text"), digest.alias("digest")).alias("row_key"))
+
+
+def _kept(docs: DataFrame, verdict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``verdict`` keeps; one of rows equal in id and text."""
+    keyed = _keyed(docs)
+    kept = verdict(keyed.select(F.col("row_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field predicts to be toxic go."""
-    verdict = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, verdict.where("predicted = 0"))
+    verdict = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=[c for c in COLUMNS if c != "doc_id"])
+    return verdict.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    return _kept(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return _kept(docs, exact_dedup.exact_dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest id stays."""
-    return _kept(docs, near_dedup.near_dedup(docs).where("kept"))
+    return _kept(docs, near_dedup.near_dedup)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,6 +253,30 @@ def test_pipeline_stages(spark):
     assert ids(packed) == ids(flow["decontamination"])
 
 
+def test_pipeline_rows_have_their_own_verdicts(spark, monkeypatch):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "l", "s", len(t or "")) for i, t in rows], names)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = toxicity.toxicity(first, labels).join(first.select("doc_id", "text"), "doc_id").orderBy("doc_id")
+    bad, good = found.where("predicted = 1").first()["text"], found.where("predicted = 0").first()["text"]
+    model = toxicity.fit(toxicity.training_sample(first, labels))
+    monkeypatch.setattr(toxicity, "fit", lambda sample: model)
+    rows = [(None, bad), (None, good), (7, bad), (7, good)]
+    assert left(corpus_pipeline.drop_toxic(spark, frame(rows), SF)) == sorted([(None, good), (7, good)], key=str)
+
+    rows = [(None, "a"), (1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "c"), (2, "a"), (None, None), (None, "")]
+    out = left(corpus_pipeline.drop_copies(spark, frame(rows), SF))
+    assert [r for r in out if r[1]] == sorted([(1, "a"), (None, "b"), (2, "c")], key=str) and len(out) == 4
+
+    near = LONG.replace("w20", "zz")
+    rows = [(None, LONG), (None, near), (None, near), (3, near), (3, near), (3, LONG), (4, "other words here"), (None, "one more"), (None, "one more")]
+    out = left(corpus_pipeline.drop_near_copies(spark, frame(rows), SF))
+    assert len(out) == 3 and {(4, "other words here"), (None, "one more")} < set(out) and {i for i, t in out if t in (LONG, near)} == {3}
+
+
 def test_candidates_are_all_or_crowds(monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(1, 1 << 62, (12, 30))
