@@ -520,10 +520,3 @@ def q_icp(spark, sf):
     reach = max(0.1, (box["x"] * box["y"] * box["z"] / box["n"]) ** (1 / 3)) if box["n"] else 0.1
     pose = registration.align(source, target, reach, 1.0)
     return spark.createDataFrame([(i, j, float(pose[i, j])) for i in range(4) for j in range(4)], "r int, c int, v double")
-
-
-@query()
-def q_pose_graph(spark, sf):
-    edges = [(i, i + 1, [0.0, 0.0, 0.1, 1.0, 0.0, 0.0]) for i in range(20)] + [(20, 0, [0.0, 0.0, -2.0, 0.0, 0.0, 0.0])]
-    poses = registration.solve_graph(21, edges)
-    return spark.createDataFrame([(k, *map(float, p[:3, 3])) for k, p in enumerate(poses)], "node int, x double, y double, z double")

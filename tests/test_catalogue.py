@@ -16,6 +16,10 @@ def test_query_has_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_no_query_without_a_table():
+    assert "q_pose_graph" not in catalogue.queries()  # its solver has a test on a fixture
+
+
 def test_entry(spark):
     import __spark_entry__
 
