@@ -16,7 +16,8 @@ spans.
 
 Defined cases: null and empty texts have score 0; null ids are scored, never learnt
 from, and not held out; several labels of one document count as the largest, null
-labels not at all; without toxic or without clean training documents all scores are
+labels not at all; of rows that repeat a labelled id the smallest text is learnt from;
+without toxic or without clean training documents all scores are
 0; rows that repeat an id are scored one by one; other columns are never read; an
 empty table gives no rows.
 """
@@ -54,7 +55,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(docs["doc_id"], docs["text"]).where(F.length("text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").limit(2 * most)
+    # one text of each id, the smallest, so that the bound falls on documents and not on repeats of one
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic")
     return [(r["text"], int(r["toxic"])) for r in rows.toLocalIterator()]
 
 

@@ -105,6 +105,14 @@ def test_toxicity_on_held_out(spark):
     assert hit.sum() >= 0.8 * (r.toxic == 1).sum() and hit.sum() >= 0.9 * (r.predicted == 1).sum()
 
 
+def test_training_sample_is_of_documents(spark):
+    rows = [(0, "same text")] * 50 + [(k, f"text {k}") for k in range(1, 12)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    got = toxicity.training_sample(spark.createDataFrame(rows, "doc_id long, text string"), marks, most=12)
+    learnt = marks.where(~toxicity.held_out(marks["doc_id"])).collect()
+    assert sorted(got) == sorted((dict(rows)[r["doc_id"]], r["toxic"]) for r in learnt)
+
+
 def test_fm_index_finds_all():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 5, 3000)
