@@ -48,7 +48,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by ``keys`` (whole numbers, none null)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        if held and not np.array_equal(k[0], last):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, z in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, b.slice(a, z - a)])
+            held = []
+        held.append(b.slice(cuts[-2]))
+        last = k[-1]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 # ---------------------------------------------------------------- tokens

@@ -8,11 +8,15 @@
    smallest node of its bucket only: as many pairs as nodes. Bit counts of the
    packed planes give the collision-corrected similarity; what lies more than five
    standard deviations under the threshold goes. The rest is confirmed on full sets.
-4. The links so far give components. Round 2 pairs the nodes of a bucket that are
-   still in different components, in blocks of bounded size, again by bit counts
-   first, so a large family of near copies never becomes all its pairs, and no
-   candidate pair between different components is left untested.
-5. Components of all confirmed links; the smallest document of each stays.
+4. The links so far give components. Nodes of a bucket that are still in different
+   components are compared in blocks of bounded size, by bit counts. A task returns a
+   spanning forest of its likely pairs, never the pairs: at most a row for each row
+   that it reads. The forests join components that may be linked into families.
+5. Within a family the full sets of all nodes meet in blocks of bounded size, each with
+   each. Pairs of different components are confirmed there, and a task again returns a
+   spanning forest, of confirmed links. So no likely pair between different components
+   is left untested, and what is written grows with the nodes, not with their pairs.
+6. Components of all confirmed links; the smallest document of each stays.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**40 < 3e-7.
 
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
 from beamframe.llm.components import components
 
 SHINGLE = 5
@@ -48,7 +52,9 @@ PACKED, LOW_BITS = 2048, 2
 #: Estimates under this are pruned: 0.75 less five standard deviations of the estimate (0.0115).
 PRUNE = 0.692
 #: Nodes of a bucket that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 1024
+#: Shingles of a block of a family: a family is cut in blocks of FEW, up to SPREAD blocks, then in as many blocks of MANY as it takes.
+FEW, SPREAD, MANY = 1 << 15, 16, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -179,30 +185,85 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one block pair, of nodes in different components; a group is a block pair of a bucket."""
-    table = pa.Table.from_batches(batches)
-    c = {x: table.column(x).to_numpy() for x in ("node", "root", "n_shingles", "block", "i", "j")}
-    planes = table.column("planes").combine_chunks().flatten().to_numpy().reshape(len(table), -1).view(np.uint64)
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-    here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
-    left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
+    """A spanning forest, over components, of the likely pairs of each block pair of a bucket."""
     width = PACKED // 64
     least = (PRUNE * (1 - 2.0**-LOW_BITS) + 2.0**-LOW_BITS) * PACKED
-    step = max(1, (1 << 13) // max(1, len(right)))
-    for at in range(0, len(left), step):
-        x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
-        ok = (c["root"][x] != c["root"][y]) & (c["node"][x] != c["node"][y])
-        x, y = x[ok], y[ok]
-        ok = 100 * np.minimum(c["n_shingles"][x], c["n_shingles"][y]) >= PERCENT * np.maximum(c["n_shingles"][x], c["n_shingles"][y])
-        x, y = x[ok], y[ok]
-        differ = np.bitwise_or.reduce((planes[x] ^ planes[y]).reshape(len(x), LOW_BITS, width), axis=1)
-        ok = PACKED - np.bitwise_count(differ).sum(axis=1) >= least
-        x, y = x[ok], y[ok]
-        ok = (bands[x] == bands[y]).argmax(axis=1) == here  # a pair is reported by the first band that it shares
-        x, y = x[ok], y[ok]
-        if len(x):
-            a, b = np.minimum(c["node"][x], c["node"][y]), np.maximum(c["node"][x], c["node"][y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    for table in groups(batches, ("key", "i", "j")):
+        c = {x: table.column(x).to_numpy() for x in ("root", "n_shingles", "block", "i", "j")}
+        planes = table.column("planes").combine_chunks().flatten().to_numpy().reshape(len(table), LOW_BITS, width).view(np.uint64)
+        left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
+        now, n = c["root"].copy(), c["n_shingles"]
+        a, b = [], []
+        for x in left.tolist():
+            y = right[now[right] != now[x]]
+            y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
+            if not len(y):
+                continue
+            agree = PACKED - np.bitwise_count(np.bitwise_or.reduce(planes[y] ^ planes[x], axis=1)).sum(axis=1, dtype=np.int64)
+            met, first = np.unique(now[y[agree >= least]], return_index=True)
+            if len(met):
+                a += [c["root"][x]] * len(met)
+                b += c["root"][y[agree >= least][first]].tolist()
+                now[np.isin(now, met)] = now[x]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest, over components, of the links of each block pair of a family."""
+    for table in groups(batches, ("family", "i", "j")):
+        c = {x: table.column(x).to_numpy() for x in ("node", "root", "block", "i", "j")}
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("full")]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
+        ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        of = np.split(flat, np.cumsum(size)[:-1])
+        now, mark = c["root"].copy(), np.zeros(len(ids), bool)
+        a, b = [], []
+        for x in left.tolist():
+            y = right[now[right] != now[x]]
+            y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
+            if not len(y):
+                continue
+            mark[of[x]] = True
+            both = np.add.reduceat(mark[np.concatenate([of[k] for k in y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
+            mark[of[x]] = False
+            y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+            met, first = np.unique(now[y], return_index=True)
+            if len(met):
+                a += [c["node"][x]] * len(met)
+                b += c["node"][y[first]].tolist()
+                now[np.isin(now, met)] = now[x]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Each row once for each block pair (i, j) of its key that its block is in, sorted by key and block pair."""
+    split = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = split.withColumn("p", F.explode(own)).select(*[c for c in split.columns if c != "blocks"], "p.i", "p.j")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
+
+
+def _families(shared: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components (node, root): enough of them to join all that are linked."""
+    placed = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "mixed")
+    rows = mixed.join(placed, "key").join(nodes.select("node", "n_shingles", "planes"), "node").select("key", "node", "root", "n_shingles", "planes", "size")
+    likely = in_blocks(rows, "key", F.ceil(F.col("size") / BLOCK)).drop("size", "node")
+    joined = materialize(likely.mapInArrow(_across, "a long, b long").distinct(), "forest")
+    family = materialize(components(joined).select(F.col("node").alias("root"), F.col("root").alias("family")), "families")
+    about = nodes.select("node", "rid", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(family, "root")
+    members = materialize(about, "members")
+    total = members.groupBy("family").agg(F.sum("n_shingles").alias("total"))
+    sets = texts.mapInArrow(_sets(key_bits(members, "rid")), "rid long, full binary")
+    rows = members.join(total, "family").join(sets, "rid").select("family", "node", "root", "full", "total")
+    blocks = F.greatest(F.ceil(F.col("total") / MANY), F.least(F.ceil(F.col("total") / FEW), F.lit(SPREAD)))
+    met = in_blocks(rows, "family", blocks).drop("total")
+    found = materialize(met.mapInArrow(_within, "a long, b long").distinct(), "family-links")
+    discard(mixed, joined, family, members)
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,20 +282,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = _links(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts.select("rid", "text"))
 
     roots = materialize(components(first), "roots")
-    placed = shared.join(roots, "node", "left").select("key", "node", "hub", "size", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = materialize(mixed, "mixed").join(placed, "key").select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).join(nodes.select("node", "n_shingles", "bands", "planes"), "node").select("key", "node", "root", "n_shingles", "bands", "planes", "block", "p.i", "p.j")
-    rest = dealt.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    second = _links(rest, nodes, texts.select("rid", "text"))
-
-    final = materialize(components(first.unionByName(second)), "components")
+    second = _families(shared, nodes, roots, texts.select("rid", "text"))
+    # a root stands for its component
+    named = second.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b").join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    final = materialize(components(stars.unionByName(named)), "components")
+    discard(buckets, shared, first, roots, second)
     smallest = final.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = nodes.select("node", "doc_id").join(final, "node", "left").join(materialize(smallest, "smallest"), "root", "left")
     verdict = verdict.select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "node").join(materialize(verdict, "verdict"), "node", "left")
+    discard(nodes, final)
     chosen = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", chosen.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
