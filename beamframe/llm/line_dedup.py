@@ -12,16 +12,22 @@ class (connected component) and the number of links of each.
    packed, by buckets of the token, with a 128-bit parity sketch of the whole set.
 3. Nodes that share a token are candidates if the length filter, the positional filter
    (what can still be shared behind the two places) and the sketch (sets that differ
-   in d bits differ in d tokens at least) allow it; full sets confirm them.
-4. A token with more than CROWD candidates a node, or more than LIST nodes, is a crowd:
-   its nodes are compared in blocks of bounded size, every block with every other.
-   So no pair is left out; a family of similar lines becomes all its pairs.
+   in d bits differ in d tokens at least) allow it. A bucket returns a spanning forest
+   of its candidates, not the pairs; a token of more than LIST nodes is compared in
+   blocks of bounded size, every block with every other, with a forest each. The
+   forests make families: all links are inside one.
+4. Full sets and places of the lines of families are read again. A family's sets meet
+   in blocks of bounded size, each with each, where all pairs are verified once. A task
+   returns for each node its number of links, its first linked line and a class of its
+   own: no more rows than it reads, though a family of similar lines has all its pairs.
+
+Tokens have 56 bits of a hash and nodes are 64-bit digests of their tokens, so
+"exact" holds up to their chance collisions.
 
 Defined cases: null text counts as empty; a line without words is never removed; a
-null id comes before all others; lines of rows that repeat an id and stand at the
-same number tie, and stay together; rows that repeat an id share their lines' verdicts
-and links; other columns are ignored; an empty table gives
-no rows.
+null id comes before all others; rows that repeat an id are separate, but their lines
+that stand at the same number tie, and stay together; rows equal in id and text share
+their verdicts; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,21 +37,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, key_bits, materialize, mix, raw, slices, small_batches
-from beamframe.llm.components import components
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, key_bits, materialize, mix, raw, slices, small_batches
+from beamframe.llm.components import components, labels
 
 PERCENT = 80
 #: Entries of the rarity table, as a power of two.
 RARITY = 20
-BUCKETS = 256
-BLOCK = 1024
-#: Nodes of a token that one vectorised step compares, and candidates a node from which on it is a crowd.
+#: Bytes of text that one step tokenises, unless one text is longer.
+STEP_BYTES = 2 << 20
+#: Pairs that one step compares, nodes of a token beyond which it is compared in blocks, and nodes of a block.
+PAIRS = 1 << 18
 LIST = 2048
-CROWD = 4
+BLOCK = 1024
+#: Tokens of a block of a family: a family is cut in blocks of FEW, up to SPREAD blocks, then in as many blocks of MANY as it takes.
+FEW, SPREAD, MANY = 1 << 15, 16, 1 << 20
+#: Nodes of a family from which on each is compared with all others at once.
+WIDE = 24
 
 #: Odd multipliers for polynomial hashes modulo 2**64, the second undoing the first, and a number for each byte.
 UP = 0x9E3779B97F4A7C15
@@ -126,7 +136,7 @@ def possible(n: np.ndarray, place: np.ndarray, sketch: np.ndarray, m: np.ndarray
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << RARITY, np.int64)
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", STEP_BYTES):
         table += np.bincount((word_hashes(*raw(b.column("text")))[1] >> np.uint64(64 - RARITY)).astype(np.int64), minlength=1 << RARITY)
     step = 1 << 14
     for at in range(0, len(table), step):
@@ -150,27 +160,26 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return np.minimum(255, np.log2(np.maximum(out, 1)) * 8).astype(np.uint8)
 
 
-#: Kind 0 packs node digests (node) and line numbers (n) of a text; kind 1 packs prefix entries of one bucket.
-_SENT = "bucket int, kind int, token binary, node binary, n binary, place binary, sketch binary, doc {id}, lines long"
+#: The nodes of a slice of texts with their numbers of lines, and its prefix entries, packed by buckets of the node or the token.
+_SENT = "bucket int, nodes binary, lines binary, token binary, node binary, n binary, place binary, sketch binary"
+
 
+def _send(level: np.ndarray, buckets: int):  # noqa: ANN202
+    kinds = [pa.int32(), *[pa.binary()] * 7]
+    names = [c.split()[0] for c in _SENT.split(", ")]
 
-def _send(level: np.ndarray, id_type: pa.DataType):  # noqa: ANN202
-    """Occurrences of lines (kind 0, one row per text) and prefixes (kind 1, one row per slice and bucket)."""
+    def by_bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (mix(x) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((x, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, off, doc, number, total = token_sets(b.column("text"), level)
-            key = set_keys(h, off)
-            rows: list[tuple] = []
-            first = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            ids = b.column("doc_id").to_pylist()
-            spread = (mix(np.arange(b.num_rows).astype(np.uint64) + key[:1].sum().view(np.uint64)) % np.uint64(BUCKETS)).tolist()
-            for d in range(b.num_rows):
-                at = np.arange(first[d], first[d + 1])
-                at = at[key[at] != 0]
-                rows.append((spread[d], 0, None, key[at].astype("<i8").tobytes(), number[at].astype("<u4").tobytes(), None, None, ids[d], int(total[d])))
-            _, one = np.unique(key, return_index=True)
-            one = one[key[one] != 0]
+        for b in slices(batches, "text", STEP_BYTES):
+            h, off, *_ = token_sets(b.column("text"), level)
+            key, one, lines = np.unique(set_keys(h, off), return_index=True, return_counts=True)
+            key, one, lines = key[key != 0], one[key != 0], lines[key != 0]
+            if not len(key):
+                continue
             n = np.diff(off)[one]
             sketch = sketches(h, off)[one]
             prefix = n - -(-PERCENT * n // 100) + 1
@@ -179,130 +188,221 @@ def _send(level: np.ndarray, id_type: pa.DataType):  # noqa: ANN202
             t = h[off[one][line] + place]
             shared = t >> np.uint64(56) > 0  # the others stand in this line alone
             t, line, place = t[shared], line[shared], place[shared]
-            bucket = (mix(t) >> np.uint64(56)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            found, cuts = np.unique(bucket[by], return_index=True)
-            for i, o in zip(found.tolist(), np.split(by, cuts[1:]) if len(found) else [], strict=True):
-                x = line[o]
-                rows.append((i, 1, t[o].astype("<u8").tobytes(), key[one][x].astype("<i8").tobytes(), n[x].astype("<u4").tobytes(), place[o].astype("<u4").tobytes(), sketch[x].astype("<u8").tobytes(), None, None))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, id_type, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
+            (nodes, at), (entries, cuts) = by_bucket(key.view(np.uint64)), by_bucket(t)
+            rows = []
+            for i in range(buckets):
+                o, e = nodes[at[i] : at[i + 1]], entries[cuts[i] : cuts[i + 1]]
+                if len(o) or len(e):
+                    x = line[e]
+                    rows.append((i, *[y.tobytes() for y in (key[o], lines[o].astype("<u4"), t[e].astype("<u8"), key[x], n[x].astype("<u4"), place[e].astype("<u4"), sketch[x].astype("<u8"))]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-#: Kind 0: occurrences; kind 1: candidates node and other; kind 2: the nodes of crowds.
-_MET = "kind int, doc {id}, lines long, keys array<long>, numbers array<int>, node long, other long, token long, n int, place int, low long, high long"
+#: Kind 0: nodes of several lines (a); kind 1: candidates a and b, a forest; kind 2: the nodes (a) of crowds.
+_MET = "kind int, a long, b long, token long, n int, place int, low long, high long"
 
 
-def _candidates(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(token: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(left entries, right entries, entries of crowds), of entries sorted by token and n."""
     _, first, size = np.unique(token, return_index=True, return_counts=True)
     of = np.repeat(np.arange(len(size)), size)
     rank = (of.astype(np.int64) << 32) + n
     ahead = np.searchsorted(rank, (of.astype(np.int64) << 32) + np.minimum(100 * n // PERCENT, (1 << 32) - 1), side="right") - np.arange(len(n)) - 1
     ahead[size[of] > LIST] = 0
-    work = np.concatenate([[0], np.cumsum(ahead)])[np.append(first, len(n))]
+    work = np.concatenate([[0], np.cumsum(ahead)])
     lo = 0
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + (1 << 20), side="right")) - 1)
-        a, z = first[lo], first[hi - 1] + size[hi - 1]
-        more = ahead[a:z]
-        i = np.repeat(np.arange(a, z), more)
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, side="right")) - 1)
+        more = ahead[lo:hi]
+        i = np.repeat(np.arange(lo, hi), more)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
         ok = possible(n[i], place[i], sketch[i], n[j], place[j], sketch[j])
-        i, j = i[ok], j[ok]
-        crowd = (np.bincount(of[i] - lo, minlength=hi - lo) > CROWD * size[lo:hi]) | (size[lo:hi] > LIST)
-        few = ~crowd[of[i] - lo]
-        inside = np.arange(a, z)[crowd[of[a:z] - lo]]
-        i, j = i[few], j[few]
-        yield i, j, inside
+        yield i[ok], j[ok], lo + np.flatnonzero(size[of[lo:hi]] > LIST)
         lo = hi
 
 
-def _meet(id_type: pa.DataType):  # noqa: ANN202
-    """Occurrences go on (kind 0); of the prefixes only candidates (kind 1) and crowds (kind 2)."""
-    names = [c.split()[0] for c in _MET.split(", ")]
-    kinds = dict(zip(names, [pa.int32(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True))
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of these pairs as stars: each member with the smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = labels(at[: len(a)], at[len(a) :], len(ids))
+    own = label != np.arange(len(ids))
+    return ids[own], ids[label[own]]
 
-    def batch(kind: int, m: int, **columns: object) -> pa.RecordBatch:
-        columns["kind"] = np.full(m, kind, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "n", "place", "sketch")}
-        for b in batches:
-            rows = b.filter(pc.equal(b.column("kind"), 0))
-            if rows.num_rows:
-                keys = [np.frombuffer(x, "<i8") for x in rows.column("node").to_pylist()]
-                numbers = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows.column("n").to_pylist()]
-                yield batch(0, rows.num_rows, doc=rows.column("doc"), lines=rows.column("lines"), keys=keys, numbers=numbers)
-            rest = b.filter(pc.equal(b.column("kind"), 1))
-            for (c, h), t in zip(held.items(), ("<u8", "<i8", "<u4", "<u4", "<u8"), strict=True):
-                h += [np.frombuffer(x, t) for x in rest.column(c).to_pylist()]
-        if not held["token"]:
-            return
-        token, node, n, place, sketch = (np.concatenate(h) for h in held.values())
-        held.clear()
-        by = np.lexsort((node, n, token))
-        new = np.append(True, (token[by][1:] != token[by][:-1]) | (node[by][1:] != node[by][:-1]))
-        by = by[new]
-        token, node, n, place, sketch = token[by], node[by], n[by].astype(np.int64), place[by].astype(np.int64), sketch.reshape(-1, 2)[by]
-        for i, j, crowd in _candidates(token, node, n, place, sketch):
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            o = np.lexsort((b, a))
-            a, b = a[o], b[o]
-            if len(a):
-                o = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                yield batch(1, int(o.sum()), node=a[o], other=b[o])
-            if len(crowd):
-                s = sketch[crowd].view(np.int64)
-                yield batch(2, len(crowd), node=node[crowd], token=token[crowd].view(np.int64), n=n[crowd].astype(np.int32), place=place[crowd].astype(np.int32), low=s[:, 0], high=s[:, 1])
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of several lines, a forest of the candidates, and the nodes of crowds."""
+    fields = [(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _MET.split(", ")]
 
-    return run
+    def batch(kind: int, m: int, **columns: np.ndarray) -> pa.RecordBatch:
+        columns["kind"] = np.full(m, kind)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(t.to_pandas_dtype()), t) if c in columns else pa.nulls(m, t) for c, t in fields], names=[c for c, _ in fields])
 
+    kinds = {"nodes": "<i8", "lines": "<u4", "token": "<u8", "node": "<i8", "n": "<u4", "place": "<u4", "sketch": "<u8"}
+    held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
+    for b in batches:
+        for c, t in kinds.items():
+            held[c] += [np.frombuffer(x.as_buffer(), t) for x in b.column(c)]
+    if not held["nodes"]:
+        return
+    nodes, lines, token, node, n, place, sketch = (np.concatenate(held.pop(c)) for c in kinds)
+    ids, at = np.unique(nodes, return_inverse=True)
+    several = ids[np.bincount(at, lines) > 1]
+    yield batch(0, len(several), a=several)
+    by = np.lexsort((node, n, token))
+    if not len(by):
+        return
+    by = by[np.append(True, (token[by][1:] != token[by][:-1]) | (node[by][1:] != node[by][:-1]))]
+    token, node, n, place, sketch = token[by], node[by], n[by].astype(np.int64), place[by].astype(np.int64), sketch.reshape(-1, 2)[by]
+    pairs: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    for i, j, crowd in _candidates(token, n, place, sketch):
+        pairs.append(np.stack([node[i], node[j]]))
+        if sum(p.shape[1] for p in pairs) > 4 * PAIRS:
+            pairs = [np.stack(forest(*np.concatenate(pairs, axis=1)))]
+        if len(crowd):
+            s = sketch[crowd].view(np.int64)
+            yield batch(2, len(crowd), a=node[crowd], token=token[crowd].view(np.int64), n=n[crowd], place=place[crowd], low=s[:, 0], high=s[:, 1])
+    a, b = forest(*np.concatenate(pairs, axis=1))
+    yield batch(1, len(a), a=a, b=b)
 
-def _sets(bits: Bits, level: np.ndarray):  # noqa: ANN202
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the candidates of each block pair of a crowd."""
+    for table, cuts in groups(batches, ("token", "i", "j")):
+        c = {x: table.column(x).to_numpy().astype(np.int64) for x in ("node", "n", "place", "block", "i", "j")}
+        every = np.stack([table.column(x).to_numpy() for x in ("low", "high")], axis=1).view(np.uint64)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            node, n, place, block = (c[x][low:high] for x in ("node", "n", "place", "block"))
+            sketch = every[low:high]
+            left, right = np.flatnonzero(block == c["i"][low]), np.flatnonzero(block == c["j"][low])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x in left.tolist():
+                y = right[node[right] != node[x]]
+                y = y[possible(n[x], place[x], sketch[x], n[y], place[y], sketch[y])]
+                a.append(np.full(len(y), node[x]))
+                b.append(node[y])
+                if sum(map(len, a)) > PAIRS:
+                    u, v = forest(np.concatenate(a), np.concatenate(b))
+                    a, b = [u], [v]
+            u, v = forest(np.concatenate(a), np.concatenate(b))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
+
+#: Kind 0: the lines of a text that count, by number and node; kind 1: the full set of a node.
+_READ = "kind int, rid long, doc {id}, numbers array<int>, nodes array<long>, node long, full binary"
+
+
+def _lines(bits: Bits, level: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, off, *_ = token_sets(b.column("text"), level)
+        for b in slices(batches, "text", STEP_BYTES):
+            h, off, doc, number, _ = token_sets(b.column("text"), level)
             key = set_keys(h, off)
-            _, one = np.unique(key, return_index=True)
-            one = one[(key[one] != 0) & bits.has(key[one])]
+            on = np.flatnonzero((key != 0) & bits.has(key))
+            at = np.searchsorted(doc[on], np.arange(b.num_rows + 1)).astype(np.int32)
+            some = pa.array(np.diff(at) > 0)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)).filter(some) for x in (number[on].astype(np.int32), key[on])]
+            _, one = np.unique(key[on], return_index=True)
+            one = on[one]
             full = h.astype("<u8")
-            yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array([full[off[i] : off[i + 1]].tobytes() for i in one.tolist()], pa.binary())], names=["node", "full"])
+            rows, sets = len(lists[0]), len(one)
+            columns = [
+                np.repeat([0, 1], [rows, sets]).astype(np.int32),
+                pa.concat_arrays([b.column("rid").filter(some), pa.nulls(sets, pa.int64())]),
+                pa.concat_arrays([b.column("doc").filter(some), pa.nulls(sets, b.column("doc").type)]),
+                *[pa.concat_arrays([x, pa.nulls(sets, x.type)]) for x in lists],
+                pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(key[one])]),
+                pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array([full[off[i] : off[i + 1]].tobytes() for i in one.tolist()], pa.binary())]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _READ.split(", ")])
 
     return run
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("full_a"), b.column("full_b"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        if any(keep):
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    full = lambda s: sets.select(F.col("node").alias(s), F.col("full").alias(f"full_{s}"))
-    return materialize(pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "full_a", "full_b").mapInArrow(_confirm, "a long, b long"), "line-links")
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidate pairs of one block pair of a crowd."""
-    t = pa.Table.from_batches(batches)
-    c = {x: t.column(x).to_numpy().astype(np.int64) for x in ("node", "n", "place", "block", "i", "j")}
-    sketch = np.stack([t.column(x).to_numpy() for x in ("low", "high")], axis=1).view(np.uint64)
-    left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
-    for x in left:
-        y = right[c["node"][right] > c["node"][x]] if c["i"][0] == c["j"][0] else right
-        y = y[possible(c["n"][x], c["place"][x], sketch[x], c["n"][y], c["place"][y], sketch[y])]
-        if len(y):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c["node"][y], c["node"][x])), pa.array(np.maximum(c["node"][y], c["node"][x]))], names=["a", "b"])
+def similar(x: np.ndarray, y: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Whether the sets x and y are linked; set k is flat[start[k]:][:size[k]], sorted numbers under ``most``."""
+    place = np.repeat(np.arange(len(size)), size) * most + flat
+    n = size[x]
+    of = np.repeat(np.arange(len(x)), n)
+    mine = flat[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[x][of]]
+    want = y[of] * most + mine
+    at = np.searchsorted(place, want)
+    both = np.bincount(of, place[np.minimum(at, len(place) - 1)] == want, len(x)).astype(np.int64)
+    return 100 * both >= PERCENT * (n + size[y] - both)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block pair of a family: the nodes with links, each with its number of linked lines, the first of these, and the smallest node of its component."""
+    for table, cuts in groups(batches, ("family", "i", "j")):
+        node, lines, block, i, j = (table.column(x).to_numpy() for x in ("node", "lines", "block", "i", "j"))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("full")]
+        size = np.array([len(s) for s in sets])
+        start = np.cumsum(size) - size
+        ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        links, near, label = np.zeros(len(table), np.int64), np.full(len(table), len(table)), np.arange(len(table))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            """Rows are sorted by their first line, so the first linked line is that of the first linked row."""
+            nonlocal links, label
+            links += np.bincount(x, lines[y], len(table)).astype(np.int64) + np.bincount(y, lines[x], len(table)).astype(np.int64)  # noqa: B023
+            np.minimum.at(near, x, y)  # noqa: B023
+            np.minimum.at(near, y, x)  # noqa: B023
+            held.append((x, y))  # noqa: B023
+            if sum(len(x) for x, _ in held) > PAIRS:  # noqa: B023
+                label = labels(*(np.concatenate([*c, own]) for c, own in zip(zip(*held, strict=True), (label, np.arange(len(label))), strict=True)), len(label))  # noqa: B023
+                held.clear()  # noqa: B023
+
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            x, y = (np.concatenate(c) for c in zip(*few, strict=True))  # noqa: B023
+            few.clear()  # noqa: B023
+            ok = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])  # noqa: B023
+            x, y = x[ok], y[ok]
+            if len(x):
+                ok = similar(x, y, flat, start, size, len(ids))  # noqa: B023
+                take(x[ok], y[ok])
+
+        waiting = 0
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            alone = i[low] == j[low]
+            if high - low < WIDE:
+                if alone:
+                    x, y = np.triu_indices(high - low, 1)
+                else:
+                    side = block[low:high] == i[low]
+                    x, y = np.repeat(np.flatnonzero(side), (~side).sum()), np.tile(np.flatnonzero(~side), side.sum())
+                few.append((low + x, low + y))
+                waiting += int((size[low + x]).sum())
+                if waiting > 4 * PAIRS:
+                    settle()
+                    waiting = 0
+                continue
+            left, right = low + np.flatnonzero(block[low:high] == i[low]), low + np.flatnonzero(block[low:high] == j[low])
+            mark = np.zeros(len(ids), bool)
+            of = np.concatenate([flat[start[k] : start[k] + size[k]] for k in right]) if len(right) else flat[:0]
+            begin = np.cumsum(size[right]) - size[right]
+            for k, x in enumerate(left.tolist()):
+                since = k + 1 if alone else 0
+                y = right[since:]
+                if not len(y):
+                    continue
+                own = flat[start[x] : start[x] + size[x]]
+                mark[own] = True
+                both = np.add.reduceat(mark[of[begin[since] :]], begin[since:] - begin[since], dtype=np.int64)
+                mark[own] = False
+                y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+                if len(y):
+                    take(np.full(len(y), x), y)
+        if few:
+            settle()
+        if held:
+            label = labels(*(np.concatenate([*c, own]) for c, own in zip(zip(*held, strict=True), (label, np.arange(len(label))), strict=True)), len(label))
+        on = np.flatnonzero(links)
+        if len(on):
+            yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), table.column("first").combine_chunks().take(pa.array(near[on])), pa.array(node[label[on]])], names=["node", "links", "near", "class"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,61 +412,54 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[id_col].dataType
-    arrow = pa.string() if kind.simpleString() == "string" else pa.int32() if kind.simpleString() == "int" else pa.int64()
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("rid"), docs[id_col].alias("doc"), docs[text_col].alias("text"))
     level = rarity(texts)
-    name = kind.simpleString()
-    sent = texts.mapInArrow(_send(level, arrow), _SENT.format(id=name)).repartition(BUCKETS, "bucket")
-    met = materialize(sent.mapInArrow(_meet(arrow), _MET.format(id=name)), "line-index")
-    crowds = met.where("kind = 2").select("token", "node", "n", "place", "low", "high")
+    sent = texts.select("text").mapInArrow(_send(level, tasks), _SENT)
+    met = materialize(sent.repartitionById(tasks, F.col("bucket")).mapInArrow(_meet, _MET), "line-index")
+    crowds = met.where("kind = 2").select("token", F.col("a").alias("node"), "n", "place", "low", "high")
     sizes = crowds.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = crowds.join(sizes, "token").select("token", "node", "n", "place", "low", "high", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).select("token", "node", "n", "place", "low", "high", "block", "p.i", "p.j")
-    crossed = dealt.groupBy("token", "i", "j").applyInArrow(_across, "a long, b long")
-    pairs = materialize(met.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(crossed).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
-    sets = materialize(texts.select("text").mapInArrow(_sets(key_bits(wanted, "k"), level), "node long, full binary").groupBy("node").agg(F.first("full").alias("full")), "line-sets")
-    links = _links(pairs, sets)
-
-    at = met.where("kind = 0").select("doc", F.posexplode("keys").alias("k", "node"), "numbers")
-    where = at.select("node", F.struct(F.col("doc").isNotNull().alias("has"), "doc", F.col("numbers")[F.col("k")].alias("number")).alias("line"))
-    nodes = materialize(where.groupBy("node").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("size")), "line-nodes")
-    sides = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    near = sides.join(nodes.select(F.col("node").alias("other"), "first", "size"), "other").groupBy("node").agg(F.min("first").alias("near_first"), F.sum("size").alias("near_size"))
-    linked = nodes.join(near, "node", "left").where("size > 1 or near_size is not null").join(components(links), "node", "left")
-    linked = linked.select("node", F.least("first", "near_first").alias("first"), (F.col("size") - 1 + F.coalesce("near_size", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("class"))
-    found = where.join(materialize(linked, "line-linked"), "node").select("line.doc", F.struct("line.number", "class", "links").alias("link"), (F.col("line") > F.col("first")).alias("later"))
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.when(F.col("later"), F.col("link.number")))).alias("removed"), F.array_sort(F.collect_set("link")).alias("links"))
-    out = met.where("kind = 0").select("doc", "lines").join(materialize(by_doc, "line-gone").withColumnRenamed("doc", "gone_doc"), F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
+    dealt = in_blocks(crowds.join(sizes, "token"), "token", F.ceil(F.col("size") / BLOCK), "node").drop("size")
+    joined = met.where("kind = 1").select("a", "b").unionByName(dealt.mapInArrow(_across, "a long, b long"))
+    family = materialize(components(joined).withColumnRenamed("root", "family"), "line-families")
+    wanted = family.select("node").unionByName(met.where("kind = 0").select(F.col("a").alias("node")))
+    read = materialize(texts.mapInArrow(_lines(key_bits(wanted, "node"), level), _READ.format(id=kind)), "line-sets")
+    where = read.where("kind = 0").select("rid", "doc", F.explode(F.arrays_zip("numbers", "nodes")).alias("x"))
+    where = where.select("rid", F.col("x.nodes").alias("node"), F.struct(F.col("doc").isNotNull().alias("has"), "doc", F.col("x.numbers").alias("number")).alias("line"))
+    nodes = materialize(where.groupBy("node").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("lines")), "line-nodes")
+
+    sets = read.where("kind = 1").groupBy("node").agg(F.first("full").alias("full"))
+    members = family.join(nodes, "node").join(sets, "node")
+    members = materialize(members, "line-members")
+    total = members.groupBy("family").agg(F.sum(F.length("full") / 8).alias("total"))
+    blocks = F.greatest(F.ceil(F.col("total") / MANY), F.least(F.ceil(F.col("total") / FEW), F.lit(SPREAD)))
+    dealt = in_blocks(members.join(total, "family"), "family", blocks, "first").drop("total")
+    shape = nodes.schema["first"].dataType.simpleString()
+    links = materialize(dealt.mapInArrow(_verify, f"node long, links long, near {shape}, class long"), "line-links")
+
+    near = links.groupBy("node").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
+    classes = components(links.select(F.col("node").alias("a"), F.col("class").alias("b"))).withColumnRenamed("root", "class")
+    linked = nodes.join(near, "node", "left").where("lines > 1 or links is not null").join(classes, "node", "left")
+    linked = materialize(linked.select("node", F.least("first", "near").alias("first"), (F.col("lines") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class", "node").alias("class")), "line-linked")
+    found = where.join(linked, "node").select("rid", F.struct("line.number", "class", "links").alias("link"), (F.col("line") > F.col("first")).alias("later"))
+    by_doc = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.when(F.col("later"), F.col("link.number")))).alias("removed"), F.array_sort(F.collect_set("link")).alias("links"))
+    by_doc = materialize(by_doc, "line-gone")
+    discard(met, family, read, nodes, members, links, linked)
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    out = texts.select("rid", "doc", n_lines.alias("n_lines")).join(by_doc, "rid", "left")
     removed, every = F.coalesce("removed", F.array().cast("array<int>")), F.coalesce("links", F.array().cast("array<struct<number:int,class:bigint,links:bigint>>"))
     n_links = F.aggregate(every, F.lit(0).cast("long"), lambda n, x: n + x["links"])
-    return out.select(F.col("doc").alias("doc_id"), F.col("lines").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), n_links.alias("n_links"), every.alias("links"))
+    return out.select(F.col("doc").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), n_links.alias("n_links"), every.alias("links"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, list[int]]:
     """For tests: removed line numbers by comparing all pairs of lines; ids are unique."""
     every = [(d, i, frozenset("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s).split())) for d, t in rows for i, s in enumerate((t or "").split("\n"))]
     every = sorted((x for x in every if x[2]), key=lambda x: x[:2])
-    root = list(range(len(every)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, (_, _, s) in enumerate(every):
-        for j in range(i):
-            t = every[j][2]
-            if 100 * len(s & t) >= PERCENT * len(s | t):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
     out: dict[int, list[int]] = {d: [] for d, _ in rows}
-    for i, (d, n, _) in enumerate(every):
-        if find(i) != i:
+    for i, (d, n, s) in enumerate(every):
+        if any(100 * len(s & t) >= PERCENT * len(s | t) for _, _, t in every[:i]):
             out[d].append(n)
     return out
-
-
