@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field.
 
-Training (driver, a bounded sample). ``labels`` marks documents, not tokens, so
+Training (one task, a bounded sample; only the model comes back to the driver). ``labels`` marks documents, not tokens, so
 tokens are labelled first: words and beginnings of words that separate toxic from
 clean training documents, picked greedily by how many toxic documents they explain,
 label their occurrences in toxic documents. The field is trained on these labelled
@@ -24,6 +24,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -50,14 +51,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """(text, toxic) of the sample; its size is bounded by TRAIN_DOCS * TRAIN_CHARS."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(docs["doc_id"], docs["text"]).where(F.length("text") <= TRAIN_CHARS)
     # one text of each id, the smallest, so that the bound falls on documents and not on repeats of one
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic")
-    return [(r["text"], int(r["toxic"])) for r in rows.toLocalIterator()]
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[str, int]]:
+    return [(r["text"], r["toxic"]) for r in training_rows(docs, labels, most).collect()]
 
 
 def features(word: str) -> list[str]:
@@ -163,6 +167,19 @@ def fit(sample: list[tuple[str, int]]) -> Model | None:
     return model._replace(calibration=calibrate(model.evidence(w)[1], toxic.astype(float)))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = sorted((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True))
+    model = fit(sample)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model and tuple(model))], pa.binary())], names=["model"])
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the sample, fitted by one task."""
+    fitted = training_rows(docs, labels).coalesce(1).mapInArrow(_fit, "model binary").collect()
+    parts = pickle.loads(fitted[0]["model"]) if fitted else None
+    return parts and Model(*parts)
+
+
 _SCORED = "doc_id {id}, score double, n_toxic_words long, spans array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -195,7 +212,7 @@ def _score(model: Model | None, carry: list[str]):  # noqa: ANN202
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_toxic_words, spans (code points), and the columns to carry."""
     small_batches(docs.sparkSession)
-    model = fit(training_sample(docs, labels))
+    model = learn(docs, labels)
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     scored = docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInArrow(_score(model, list(carry)), _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()) + kinds)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic_words", "spans", *carry)
