@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; a batch of very long texts is also cut by bytes below.
@@ -61,25 +61,36 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each key, of batches that are sorted by ``keys`` (whole numbers, none null)."""
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole groups, where each group begins, and the number of rows), of batches sorted by ``keys`` (whole numbers, none null)."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
         if not b.num_rows:
             continue
         k = np.stack([b.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         if held and not np.array_equal(k[0], last):
-            yield pa.Table.from_batches(held)
+            new = np.append(0, new)
+        if len(new):  # the last group may go on in the next batch
+            whole = pa.Table.from_batches([*held, b.slice(0, new[-1])]).combine_chunks()
+            before = len(whole) - new[-1]
+            first = [0] if before or new[0] else []
+            yield whole, np.concatenate([first, before + new]).astype(np.int64)
             held = []
-        for a, z in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield pa.Table.from_batches([*held, b.slice(a, z - a)])
-            held = []
-        held.append(b.slice(cuts[-2]))
+        held.append(b.slice(new[-1] if len(new) else 0))
         last = k[-1]
     if held:
-        yield pa.Table.from_batches(held)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole, np.array([0, len(whole)])
+
+
+def in_blocks(rows: DataFrame, key: str, blocks: Column, order: str) -> DataFrame:
+    """Each row once for each block pair (i, j) of its key that its block is in, sorted by key, block pair and ``order``."""
+    split = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = split.withColumn("p", F.explode(own)).select(*[c for c in split.columns if c != "blocks"], "p.i", "p.j")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", order)
 
 
 # ---------------------------------------------------------------- tokens

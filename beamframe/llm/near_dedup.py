@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
 from beamframe.llm.components import components
 
 SHINGLE = 5
@@ -188,70 +188,67 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest, over components, of the likely pairs of each block pair of a bucket."""
     width = PACKED // 64
     least = (PRUNE * (1 - 2.0**-LOW_BITS) + 2.0**-LOW_BITS) * PACKED
-    for table in groups(batches, ("key", "i", "j")):
-        c = {x: table.column(x).to_numpy() for x in ("root", "n_shingles", "block", "i", "j")}
-        planes = table.column("planes").combine_chunks().flatten().to_numpy().reshape(len(table), LOW_BITS, width).view(np.uint64)
-        left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
-        now, n = c["root"].copy(), c["n_shingles"]
+    for table, cuts in groups(batches, ("key", "i", "j")):
+        root, size, block, i, j = (table.column(x).to_numpy() for x in ("root", "n_shingles", "block", "i", "j"))
+        every = table.column("planes").combine_chunks().flatten().to_numpy().reshape(len(table), LOW_BITS, width).view(np.uint64)
         a, b = [], []
-        for x in left.tolist():
-            y = right[now[right] != now[x]]
-            y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
-            if not len(y):
-                continue
-            agree = PACKED - np.bitwise_count(np.bitwise_or.reduce(planes[y] ^ planes[x], axis=1)).sum(axis=1, dtype=np.int64)
-            met, first = np.unique(now[y[agree >= least]], return_index=True)
-            if len(met):
-                a += [c["root"][x]] * len(met)
-                b += c["root"][y[agree >= least][first]].tolist()
-                now[np.isin(now, met)] = now[x]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            left, right = np.flatnonzero(block[low:high] == i[low]), np.flatnonzero(block[low:high] == j[low])
+            own, n, planes = root[low:high], size[low:high], every[low:high]
+            now = own.copy()
+            for x in left.tolist():
+                y = right[now[right] != now[x]]
+                y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
+                if not len(y):
+                    continue
+                agree = PACKED - np.bitwise_count(np.bitwise_or.reduce(planes[y] ^ planes[x], axis=1)).sum(axis=1, dtype=np.int64)
+                y = y[agree >= least]
+                met, first = np.unique(now[y], return_index=True)
+                if len(met):
+                    a += [own[x]] * len(met)
+                    b += own[y[first]].tolist()
+                    now[np.isin(now, met)] = now[x]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest, over components, of the links of each block pair of a family."""
-    for table in groups(batches, ("family", "i", "j")):
-        c = {x: table.column(x).to_numpy() for x in ("node", "root", "block", "i", "j")}
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("full")]
-        size = np.array([len(s) for s in sets])
-        left, right = np.flatnonzero(c["block"] == c["i"]), np.flatnonzero(c["block"] == c["j"])
-        ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        of = np.split(flat, np.cumsum(size)[:-1])
-        now, mark = c["root"].copy(), np.zeros(len(ids), bool)
+    for table, cuts in groups(batches, ("family", "i", "j")):
+        node, root, block, i, j = (table.column(x).to_numpy() for x in ("node", "root", "block", "i", "j"))
+        every = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("full")]
         a, b = [], []
-        for x in left.tolist():
-            y = right[now[right] != now[x]]
-            y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
-            if not len(y):
-                continue
-            mark[of[x]] = True
-            both = np.add.reduceat(mark[np.concatenate([of[k] for k in y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
-            mark[of[x]] = False
-            y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
-            met, first = np.unique(now[y], return_index=True)
-            if len(met):
-                a += [c["node"][x]] * len(met)
-                b += c["node"][y[first]].tolist()
-                now[np.isin(now, met)] = now[x]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            left, right = np.flatnonzero(block[low:high] == i[low]), np.flatnonzero(block[low:high] == j[low])
+            sets = every[low:high]
+            size = np.array([len(s) for s in sets])
+            ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            of = np.split(flat, np.cumsum(size)[:-1])
+            now, mark = root[low:high].copy(), np.zeros(len(ids), bool)
+            for x in left.tolist():
+                y = right[now[right] != now[x]]
+                y = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
+                if not len(y):
+                    continue
+                mark[of[x]] = True
+                both = np.add.reduceat(mark[np.concatenate([of[k] for k in y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
+                mark[of[x]] = False
+                y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+                met, first = np.unique(now[y], return_index=True)
+                if len(met):
+                    a += [node[low + x]] * len(met)
+                    b += node[low + y[first]].tolist()
+                    now[np.isin(now, met)] = now[x]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """Each row once for each block pair (i, j) of its key that its block is in, sorted by key and block pair."""
-    split = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = split.withColumn("p", F.explode(own)).select(*[c for c in split.columns if c != "blocks"], "p.i", "p.j")
-    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
-
-
 def _families(shared: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the components (node, root): enough of them to join all that are linked."""
     placed = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "mixed")
     rows = mixed.join(placed, "key").join(nodes.select("node", "n_shingles", "planes"), "node").select("key", "node", "root", "n_shingles", "planes", "size")
-    likely = in_blocks(rows, "key", F.ceil(F.col("size") / BLOCK)).drop("size", "node")
+    likely = in_blocks(rows, "key", F.ceil(F.col("size") / BLOCK), "node").drop("size", "node")
     joined = materialize(likely.mapInArrow(_across, "a long, b long").distinct(), "forest")
     family = materialize(components(joined).select(F.col("node").alias("root"), F.col("root").alias("family")), "families")
     about = nodes.select("node", "rid", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(family, "root")
@@ -260,7 +257,7 @@ def _families(shared: DataFrame, nodes: DataFrame, roots: DataFrame, texts: Data
     sets = texts.mapInArrow(_sets(key_bits(members, "rid")), "rid long, full binary")
     rows = members.join(total, "family").join(sets, "rid").select("family", "node", "root", "full", "total")
     blocks = F.greatest(F.ceil(F.col("total") / MANY), F.least(F.ceil(F.col("total") / FEW), F.lit(SPREAD)))
-    met = in_blocks(rows, "family", blocks).drop("total")
+    met = in_blocks(rows, "family", blocks, "node").drop("total")
     found = materialize(met.mapInArrow(_within, "a long, b long").distinct(), "family-links")
     discard(mixed, joined, family, members)
     return found

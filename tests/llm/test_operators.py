@@ -184,49 +184,61 @@ def test_line_dedup_against_brute_force(spark):
     assert {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()} == line_dedup.brute_force(rows)
 
 
-def test_lm_against_counting(spark):
+def lm_by_counting(tokens, good):
+    """(target bits, background bits) of each text, from the counts of all others; ``good``: places of the target's texts."""
     from collections import Counter
 
-    rows = [(0, "a b a c"), (1, "b b a"), (2, ""), (3, None), (4, "c C d")]
-    good = {0, 4}
+    v = len({w for t in tokens for w in t})
+    chosen = {"target": sorted(good), "background": range(len(tokens))}
+    size = {m: sum(len(tokens[k]) for k in ks) for m, ks in chosen.items()}
+    out = []
+    for i, t in enumerate(tokens):
+        bits = []
+        for m, ks in chosen.items():
+            one, two = Counter(), Counter()
+            for k in ks:
+                if k != i:
+                    one.update(["<s>", *tokens[k]] if tokens[k] else [])
+                    two.update(zip(["<s>", *tokens[k]], tokens[k]))
+            n, scale = sum(one.values()) - one["<s>"], 1 if m == "target" else size["target"] / max(size["background"], 1)
+            p = lambda w: (scale * one[w] + 1) / (scale * n + v + 1)  # noqa: B023, E731
+            loss = [-np.log2((scale * two[h, w] + lm_score.MU * p(w)) / (scale * one[h] + lm_score.MU)) for h, w in zip(["<s>", *t], t)]
+            bits.append(np.mean(loss) if loss else 0.0)
+        out.append(tuple(bits))
+    return out
+
+
+def lm_is_counting(spark, rows, good):
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")).collect()
-    tokens = {i: (t or "").lower().split() for i, t in rows}
-    v = len({w for t in tokens.values() for w in t})
+    tokens = [(t or "").lower().split() for _, t in rows]
+    want = lm_by_counting(tokens, [k for k, (i, _) in enumerate(rows) if i in good])
+    flat = sorted((-1 if i is None else i, len(t), *b, b[0] - b[1]) for (i, _), t, b in zip(rows, tokens, want, strict=True))
+    for g, w in zip(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["target_bits"], r["background_bits"], r["difference"]) for r in got), flat, strict=True):
+        assert g == pytest.approx(w)
 
-    def bits(ids, t):
-        one, two, start = Counter(), Counter(), 0
-        for i in ids:
-            one.update(tokens[i])
-            two.update(zip(["<s>", *tokens[i]], tokens[i]))
-            start += bool(tokens[i])
-        loss = [-np.log2((two[h, w] + lm_score.MU * (one[w] + 1) / (sum(one.values()) + v + 1)) / ((start if h == "<s>" else one[h]) + lm_score.MU)) for h, w in zip(["<s>", *t], t)]
-        return np.mean(loss) if loss else 0.0
 
-    for r in got:
-        assert r["target_bits"] == pytest.approx(bits(good, tokens[r["doc_id"]])) and r["background_bits"] == pytest.approx(bits(tokens, tokens[r["doc_id"]]))
+@pytest.mark.parametrize("good", [{0, 4}, {7}, set()])
+def test_lm_against_counting(spark, good):
+    lm_is_counting(spark, [(0, "a b a c"), (1, "b b a"), (2, ""), (3, None), (4, "c C d"), (None, "a b a c"), (4, "d d")], good)
 
 
 def test_lm_counts_every_word_and_pair(spark):
-    from collections import Counter
-
     long = ["x" * 70 + str(k) for k in range(3)]
     many = [f"w{k}" for k in range(70_000)]
     rows = [(0, " ".join([*long, long[0]])), (1, " ".join(many)), (None, f"{long[1]} {many[-1]} {many[-2]}"), (1, f"{many[-3]} {many[-2]} a"), (2, f"{long[2]} {long[1]}")]
-    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")).collect()
-    tokens = [t.split() for _, t in rows]
-    v = len({w for t in tokens for w in t})
-    want = []
-    models = []
-    for chosen in ([0, 1, 3], range(5)):
-        one, two = Counter(), Counter()
-        for k in chosen:
-            one.update(["<s>", *tokens[k]])
-            two.update(zip(["<s>", *tokens[k]], tokens[k]))
-        models.append((one, two, sum(one.values()) - one["<s>"]))
-    for (i, _), t in zip(rows, tokens, strict=True):
-        want.append((i or -1, len(t), *[np.mean([-np.log2((two[h, w] + lm_score.MU * (one[w] + 1) / (n + v + 1)) / (one[h] + lm_score.MU)) for h, w in zip(["<s>", *t], t)]) for one, two, n in models]))
-    for g, w in zip(sorted((r["doc_id"] or -1, r["n_tokens"], r["target_bits"], r["background_bits"]) for r in got), sorted(want), strict=True):
-        assert g == pytest.approx(w)
+    lm_is_counting(spark, rows, {0, 1})
+
+
+def test_lm_in_many_blocks(spark, monkeypatch):
+    """Blocks of a few bytes, keys that all blocks share, and documents that occur twice, which the background tells apart."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
+    rng = random.Random(5)
+    text = lambda k: " ".join(f"w{int(rng.expovariate(0.05))}" if rng.random() < 0.7 else f"own{k}x{rng.randrange(9)}" for _ in range(30))
+    rows = [(k, text(k)) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    lm_is_counting(spark, rows, set(range(0, 60, 3)))
+    got = {r["doc_id"]: r["background_bits"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 1) for k in range(0, 60, 3)], "doc_id long, quality int")).collect()}
+    assert np.mean([got[k] for k in range(5)]) < np.mean([got[k] for k in range(5, 60)]) - 0.3
 
 
 def test_secret_spans(spark):
@@ -271,7 +283,7 @@ def test_pipeline_rows_have_their_own_verdicts(spark, monkeypatch):
     found = toxicity.toxicity(first, labels).join(first.select("doc_id", "text"), "doc_id").orderBy("doc_id")
     bad, good = found.where("predicted = 1").first()["text"], found.where("predicted = 0").first()["text"]
     model = toxicity.fit(toxicity.training_sample(first, labels))
-    monkeypatch.setattr(toxicity, "fit", lambda sample: model)
+    monkeypatch.setattr(toxicity, "learn", lambda docs, labels: model)
     rows = [(None, bad), (None, good), (7, bad), (7, good)]
     assert left(corpus_pipeline.drop_toxic(spark, frame(rows), SF)) == sorted([(None, good), (7, good)], key=str)
 
@@ -300,16 +312,16 @@ def test_candidates_are_all_or_crowds(monkeypatch):
     token = np.array([r[0] for r in rows], np.uint64)
     n, node, place = (np.array(c) for c in zip(*[r[1:] for r in rows], strict=True))
     linked = {(a, b) for a in range(300) for b in range(a) if 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(x))}
-    for crowd, most in ((4, 2048), (1000, 2048), (1000, 5)):
-        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "PAIRS", 100)
+    for most in (2048, 20, 5):
         monkeypatch.setattr(line_dedup, "LIST", most)
         pairs, crowds = set(), {}
-        for i, j, c in line_dedup._candidates(token, node, n, place, sketch[node]):
+        for i, j, c in line_dedup._candidates(token, n, place, sketch[node]):
             pairs |= {(max(a, b), min(a, b)) for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True)}
             for t, k in zip(token[c].tolist(), node[c].tolist(), strict=True):
                 crowds.setdefault(t, set()).add(k)
         assert all(p in pairs or any(p[0] in c and p[1] in c for c in crowds.values()) for p in linked)
-        assert (crowd == 1000 and most == 2048) != bool(crowds)
+        assert (most == 2048) != bool(crowds)
 
 
 def test_line_crowds_against_brute_force(spark):
@@ -323,14 +335,16 @@ def test_line_crowds_against_brute_force(spark):
     assert {r["doc_id"]: r["removed"] for r in got} == line_dedup.brute_force(rows)
 
 
-def test_only_lines_after_a_linked_one_go(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16, "LIST": 20}, {"FEW": 200, "PAIRS": 300}, {"WIDE": 2}, {"WIDE": 1000, "FEW": 100, "MANY": 150, "SPREAD": 2}])
+def test_only_lines_after_a_linked_one_go(spark, monkeypatch, limits):
     span = lambda a, z: " ".join(f"w{i}" for i in range(a, z))
     rng = random.Random(6)
     rows = [(1, span(1, 10)), (2, span(3, 12)), (3, span(2, 11)), (4, span(3, 12) + "\nalone")]
     rows += [(k, " ".join(f"f{i}" if rng.random() < 0.9 else f"g{rng.randrange(40)}" for i in range(20))) for k in range(5, 90)]
     lines = [(d, n, frozenset(x.split())) for d, t in rows for n, x in enumerate(t.split("\n"))]
     pairs = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(lines[a][2] & lines[b][2]) >= 80 * len(lines[a][2] | lines[b][2])]
-    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[2]["removed"], got[3]["removed"], got[4]["removed"]) == ([], [0], [0])
     for d, _ in rows:
