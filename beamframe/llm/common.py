@@ -7,9 +7,10 @@ column without a Python loop over rows or words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; a batch of very long texts is also cut by bytes below.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch; a batch is also cut by bytes of text below.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: Bytes of text that one vectorised step holds at most, unless one text is longer.
 SLICE_BYTES = 6 << 20
 
@@ -32,6 +33,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give freed memory back: a worker waits for its next task, and what it holds is missing elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same stage, leaving a small worker behind."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
 
 
 def scratch(spark: SparkSession) -> str:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, key_bits, materialize, mix, raw, slices, small_batches
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, key_bits, lean, materialize, mix, raw, slices, small_batches
 from beamframe.llm.components import components, labels
 
 PERCENT = 80
@@ -155,7 +155,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(texts: DataFrame) -> np.ndarray:
     """The level of each entry: an eighth of a power of two of its count, 0 for a word that stands once in all texts."""
     out = np.zeros(1 << RARITY, np.uint32)
-    for r in texts.select("text").mapInArrow(_count, "at long, n binary").repartition("at").mapInArrow(_sum, "at long, n binary").toLocalIterator():
+    for r in texts.select("text").mapInArrow(lean(_count), "at long, n binary").repartition("at").mapInArrow(lean(_sum), "at long, n binary").toLocalIterator():
         out[r["at"] : r["at"] + len(r["n"]) // 4] = np.frombuffer(r["n"], "<u4")
     return np.minimum(255, np.log2(np.maximum(out, 1)) * 8).astype(np.uint8)
 
@@ -290,30 +290,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
 
-#: Kind 0: the lines of a text that count, by number and node; kind 1: the full set of a node.
-_READ = "kind int, rid long, doc {id}, numbers array<int>, nodes array<long>, node long, full binary"
+#: Kind 0: a text with its number of lines, and those that count by number and node; kind 1: the full set of a node.
+_READ = "kind int, rid long, doc {id}, n_lines long, numbers array<int>, nodes array<long>, node long, full binary"
 
 
 def _lines(bits: Bits, level: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP_BYTES):
-            h, off, doc, number, _ = token_sets(b.column("text"), level)
+            h, off, doc, number, total = token_sets(b.column("text"), level)
             key = set_keys(h, off)
             on = np.flatnonzero((key != 0) & bits.has(key))
-            at = np.searchsorted(doc[on], np.arange(b.num_rows + 1)).astype(np.int32)
-            some = pa.array(np.diff(at) > 0)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)).filter(some) for x in (number[on].astype(np.int32), key[on])]
+            at = pa.array(np.searchsorted(doc[on], np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (number[on].astype(np.int32), key[on])]
             _, one = np.unique(key[on], return_index=True)
             one = on[one]
             full = h.astype("<u8")
-            rows, sets = len(lists[0]), len(one)
+            sets = len(one)
             columns = [
-                np.repeat([0, 1], [rows, sets]).astype(np.int32),
-                pa.concat_arrays([b.column("rid").filter(some), pa.nulls(sets, pa.int64())]),
-                pa.concat_arrays([b.column("doc").filter(some), pa.nulls(sets, b.column("doc").type)]),
-                *[pa.concat_arrays([x, pa.nulls(sets, x.type)]) for x in lists],
-                pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(key[one])]),
-                pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array([full[off[i] : off[i + 1]].tobytes() for i in one.tolist()], pa.binary())]),
+                np.repeat([0, 1], [b.num_rows, sets]).astype(np.int32),
+                *[pa.concat_arrays([x, pa.nulls(sets, x.type)]) for x in (b.column("rid"), b.column("doc"), pa.array(total, pa.int64()), *lists)],
+                pa.concat_arrays([pa.nulls(b.num_rows, pa.int64()), pa.array(key[one])]),
+                pa.concat_arrays([pa.nulls(b.num_rows, pa.binary()), pa.array([full[off[i] : off[i + 1]].tobytes() for i in one.tolist()], pa.binary())]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _READ.split(", ")])
 
@@ -416,15 +413,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64(id_col, text_col).alias("rid"), docs[id_col].alias("doc"), docs[text_col].alias("text"))
     level = rarity(texts)
-    sent = texts.select("text").mapInArrow(_send(level, tasks), _SENT)
-    met = materialize(sent.repartitionById(tasks, F.col("bucket")).mapInArrow(_meet, _MET), "line-index")
+    sent = texts.select("text").mapInArrow(lean(_send(level, tasks)), _SENT)
+    met = materialize(sent.repartitionById(tasks, F.col("bucket")).mapInArrow(lean(_meet), _MET), "line-index")
     crowds = met.where("kind = 2").select("token", F.col("a").alias("node"), "n", "place", "low", "high")
     sizes = crowds.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     dealt = in_blocks(crowds.join(sizes, "token"), "token", F.ceil(F.col("size") / BLOCK), "node").drop("size")
-    joined = met.where("kind = 1").select("a", "b").unionByName(dealt.mapInArrow(_across, "a long, b long"))
+    joined = met.where("kind = 1").select("a", "b").unionByName(dealt.mapInArrow(lean(_across), "a long, b long"))
     family = materialize(components(joined).withColumnRenamed("root", "family"), "line-families")
     wanted = family.select("node").unionByName(met.where("kind = 0").select(F.col("a").alias("node")))
-    read = materialize(texts.mapInArrow(_lines(key_bits(wanted, "node"), level), _READ.format(id=kind)), "line-sets")
+    read = materialize(texts.mapInArrow(lean(_lines(key_bits(wanted, "node"), level)), _READ.format(id=kind)), "line-sets")
     where = read.where("kind = 0").select("rid", "doc", F.explode(F.arrays_zip("numbers", "nodes")).alias("x"))
     where = where.select("rid", F.col("x.nodes").alias("node"), F.struct(F.col("doc").isNotNull().alias("has"), "doc", F.col("x.numbers").alias("number")).alias("line"))
     nodes = materialize(where.groupBy("node").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("lines")), "line-nodes")
@@ -436,7 +433,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocks = F.greatest(F.ceil(F.col("total") / MANY), F.least(F.ceil(F.col("total") / FEW), F.lit(SPREAD)))
     dealt = in_blocks(members.join(total, "family"), "family", blocks, "first").drop("total")
     shape = nodes.schema["first"].dataType.simpleString()
-    links = materialize(dealt.mapInArrow(_verify, f"node long, links long, near {shape}, class long"), "line-links")
+    links = materialize(dealt.mapInArrow(lean(_verify), f"node long, links long, near {shape}, class long"), "line-links")
 
     near = links.groupBy("node").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
     classes = components(links.select(F.col("node").alias("a"), F.col("class").alias("b"))).withColumnRenamed("root", "class")
@@ -445,10 +442,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = where.join(linked, "node").select("rid", F.struct("line.number", "class", "links").alias("link"), (F.col("line") > F.col("first")).alias("later"))
     by_doc = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.when(F.col("later"), F.col("link.number")))).alias("removed"), F.array_sort(F.collect_set("link")).alias("links"))
     by_doc = materialize(by_doc, "line-gone")
-    discard(met, family, read, nodes, members, links, linked)
-    text = F.coalesce("text", F.lit(""))
-    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    out = texts.select("rid", "doc", n_lines.alias("n_lines")).join(by_doc, "rid", "left")
+    discard(met, family, nodes, members, links, linked)
+    out = read.where("kind = 0").select("rid", "doc", "n_lines").join(by_doc, "rid", "left")
     removed, every = F.coalesce("removed", F.array().cast("array<int>")), F.coalesce("links", F.array().cast("array<struct<number:int,class:bigint,links:bigint>>"))
     n_links = F.aggregate(every, F.lit(0).cast("long"), lambda n, x: n + x["links"])
     return out.select(F.col("doc").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), n_links.alias("n_links"), every.alias("links"))

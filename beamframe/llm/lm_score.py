@@ -46,11 +46,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, discard, hash_strings, key_bits, materialize, mix, raw, slices, small_batches, words
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, hash_strings, key_bits, lean, materialize, mix, raw, slices, small_batches, trim, words
 
 MU = 200.0
 #: Bytes of text of a block, unless one text is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: What sets the keys of words and pairs apart, and the key of the start of a text.
 WORD, START = np.uint64(0x57), mix(np.array([0x5354415254], np.uint64))
 
@@ -211,10 +211,10 @@ def _score(buckets: int):  # noqa: ANN202
         good = _expand(text["good"], "u1", len(text["docs"])).astype(np.int64)
         first = np.cumsum(t.lengths) - t.lengths
         own_word, own_pair = _own(t.doc, t.code, len(t.distinct)), _own(t.doc, t.pair, len(t.left))
+        keys = _keys(t, buckets)
         before = t.left[t.pair]
         own_before = np.append(0, own_word[:-1])[: len(own_word)]
         own_before[before == len(t.distinct)] = 1
-        keys = _keys(t, buckets)
         mean = []
         for model in ("target", "background"):
             single, both = (np.empty(len(order)) for order, *_ in keys)
@@ -240,6 +240,7 @@ def _score(buckets: int):  # noqa: ANN202
                     parts.setdefault(r["block"], []).append(r)
         for name in list(texts):
             yield scored(texts.pop(name), parts.pop(name, []), id_type)
+            trim()
 
     return run
 
@@ -268,9 +269,9 @@ def lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     marked = materialize(marked, "lm-marked")  # the blocks below are named by task, so a task that runs again must meet the same rows
     both = sure.select("doc_id", "text", F.lit(False).alias("good")).unionByName(marked)
-    blocks = materialize(both.mapInArrow(_pack(id_type), _PACKED.format(id=kind)), "lm-blocks")
+    blocks = materialize(both.mapInArrow(lean(_pack(id_type)), _PACKED.format(id=kind)), "lm-blocks")
     discard(good, marked)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = blocks.mapInArrow(_send(tasks), _SENT).repartitionById(tasks, F.col("bucket")).mapInArrow(_answer, _ANSWER)
+    answers = blocks.mapInArrow(lean(_send(tasks)), _SENT).repartitionById(tasks, F.col("bucket")).mapInArrow(lean(_answer), _ANSWER)
     met = blocks.unionByName(answers, allowMissingColumns=True).repartition(tasks, "block")
-    return met.mapInArrow(_score(tasks), f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, difference double")
+    return met.mapInArrow(lean(_score(tasks)), f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, difference double")

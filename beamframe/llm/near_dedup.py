@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
+from beamframe.llm.common import SPACED_LOWER, Bits, discard, groups, in_blocks, inside_documents, key_bits, lean, materialize, mix, slices, small_batches, window_hashes, words
 from beamframe.llm.components import components
 
 SHINGLE = 5
@@ -178,7 +178,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     likely = likely.where(100 * F.least("n_shingles_a", "n_shingles_b") >= PERCENT * F.greatest("n_shingles_a", "n_shingles_b")).where(estimate("planes_a", "planes_b") >= PRUNE)
     likely = materialize(likely.select("a", "b", "rid_a", "rid_b"), "likely")
     bits = key_bits(likely.select(F.col("rid_a").alias("rid")).unionByName(likely.select(F.col("rid_b").alias("rid"))), "rid")
-    sets = texts.mapInArrow(_sets(bits), "rid long, full binary")
+    sets = texts.mapInArrow(lean(_sets(bits)), "rid long, full binary")
     full = lambda s: sets.select(F.col("rid").alias(f"rid_{s}"), F.col("full").alias(f"full_{s}"))
     joined = likely.join(full("a"), "rid_a").join(full("b"), "rid_b").select("a", "b", "full_a", "full_b")
     return materialize(joined.mapInArrow(_confirm, "a long, b long").distinct(), "links")
@@ -249,16 +249,16 @@ def _families(shared: DataFrame, nodes: DataFrame, roots: DataFrame, texts: Data
     mixed = materialize(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "mixed")
     rows = mixed.join(placed, "key").join(nodes.select("node", "n_shingles", "planes"), "node").select("key", "node", "root", "n_shingles", "planes", "size")
     likely = in_blocks(rows, "key", F.ceil(F.col("size") / BLOCK), "node").drop("size", "node")
-    joined = materialize(likely.mapInArrow(_across, "a long, b long").distinct(), "forest")
+    joined = materialize(likely.mapInArrow(lean(_across), "a long, b long").distinct(), "forest")
     family = materialize(components(joined).select(F.col("node").alias("root"), F.col("root").alias("family")), "families")
     about = nodes.select("node", "rid", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(family, "root")
     members = materialize(about, "members")
     total = members.groupBy("family").agg(F.sum("n_shingles").alias("total"))
-    sets = texts.mapInArrow(_sets(key_bits(members, "rid")), "rid long, full binary")
+    sets = texts.mapInArrow(lean(_sets(key_bits(members, "rid"))), "rid long, full binary")
     rows = members.join(total, "family").join(sets, "rid").select("family", "node", "root", "full", "total")
     blocks = F.greatest(F.ceil(F.col("total") / MANY), F.least(F.ceil(F.col("total") / FEW), F.lit(SPREAD)))
     met = in_blocks(rows, "family", blocks, "node").drop("total")
-    found = materialize(met.mapInArrow(_within, "a long, b long").distinct(), "family-links")
+    found = materialize(met.mapInArrow(lean(_within), "a long, b long").distinct(), "family-links")
     discard(mixed, joined, family, members)
     return found
 
@@ -268,7 +268,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.xxhash64(id_col, text_col).alias("rid"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketch, _SKETCH.format(id=kind)), "sketches")
+    sketches = materialize(texts.mapInArrow(lean(_sketch), _SKETCH.format(id=kind)), "sketches")
     nodes = materialize(
         sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("planes").alias("planes")),
         "nodes",

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import ALNUM_LOWER, Words, slices, small_batches, words
+from beamframe.llm.common import ALNUM_LOWER, Words, lean, slices, small_batches, words
 from beamframe.llm.crf import forward_backward, train
 
 TRAIN_DOCS = 2500
@@ -175,7 +175,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the sample, fitted by one task."""
-    fitted = training_rows(docs, labels).coalesce(1).mapInArrow(_fit, "model binary").collect()
+    fitted = training_rows(docs, labels).coalesce(1).mapInArrow(lean(_fit), "model binary").collect()
     parts = pickle.loads(fitted[0]["model"]) if fitted else None
     return parts and Model(*parts)
 
@@ -214,5 +214,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, c
     small_batches(docs.sparkSession)
     model = learn(docs, labels)
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    scored = docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInArrow(_score(model, list(carry)), _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()) + kinds)
+    scored = docs.select("doc_id", "text", *[c for c in carry if c != "text"]).mapInArrow(lean(_score(model, list(carry))), _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()) + kinds)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic_words", "spans", *carry)
