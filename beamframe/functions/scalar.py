@@ -32,6 +32,14 @@ def local_metres(lat: Column, lon: Column, lat0: float, lon0: float) -> dict[str
     return {"east": F.radians(lon - lon0) * (prime * math.cos(math.radians(lat0))), "north": F.radians(lat - lat0) * meridian}
 
 
+def relative_metres(lat: float, lon: float, lat0: float, lon0: float) -> tuple[float, float]:
+    """The same of numbers."""
+    s = math.sin(math.radians(lat0))
+    prime = WGS84_A / math.sqrt(1 - WGS84_E2 * s * s)
+    meridian = prime * (1 - WGS84_E2) / (1 - WGS84_E2 * s * s)
+    return math.radians(lon - lon0) * prime * math.cos(math.radians(lat0)), math.radians(lat - lat0) * meridian
+
+
 def valid(status: Column) -> Column:
     return status.bitwiseAND(1) == 1
 

@@ -54,3 +54,26 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRACK = "(SELECT event_id, user_id, event_type, epoch_us(ts) AS ts_us, CAST(floor(value * 1000) AS BIGINT) AS milli, value FROM events)"
+
+
+def packed(df: DataFrame, size: Column | int, layout: list[tuple[str, int, int]], keep: list[str]) -> DataFrame:
+    """Rows as packets: ``payload`` of ``size`` bytes with whole-number columns at (first bit, bits)."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from beamframe.functions.packets import put_bits
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column("_size").to_numpy()
+            rows = np.zeros((b.num_rows, int(sizes.max(initial=8))), np.uint8)
+            for c, first, bits in layout:
+                put_bits(rows, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), first, bits)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([r[:n].tobytes() for r, n in zip(rows, sizes.tolist(), strict=True)], pa.binary())], names=[*keep, "payload"])
+
+    wanted = list(dict.fromkeys([*keep, *[c for c, *_ in layout]]))
+    return df.select(*wanted, (F.lit(size) if isinstance(size, int) else size).cast("int").alias("_size")).mapInArrow(run, f"{kinds}, payload binary")
