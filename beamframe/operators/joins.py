@@ -9,18 +9,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_bracket(events: DataFrame, knots: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+def asof_bracket(events: DataFrame, knots: DataFrame, key: str, ts: str, value: str, span: int | None = None) -> DataFrame:
     """Each event with the knots at or before and at or after it: t0, v0, t1, v1 (null outside).
 
-    One union and one sort per key instead of a range join; knots have unique times per key.
+    One union and one sort per key instead of a range join, in time linear in the rows;
+    knots have unique times per key. With ``span`` a key is cut in buckets of that much
+    time, each sorted by a task of its own; the knots next to a bucket are carried in, so
+    results are the same and a key may hold any share of the rows.
     """
-    both = events.withColumn("_knot", F.lit(None).cast(f"struct<t:{dict(knots.dtypes)[ts]},v:{dict(knots.dtypes)[value]}>")).unionByName(
+    kinds = dict(knots.dtypes)
+    bucket = F.floor(F.col(ts) / span).cast("long") if span else F.lit(0).cast("long")
+    both = events.withColumn("_knot", F.lit(None).cast(f"struct<t:{kinds[ts]},v:{kinds[value]}>")).unionByName(
         knots.select(key, ts, F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_knot")), allowMissingColumns=True
-    )
-    back = Window.partitionBy(key).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(key).orderBy(ts).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_b", F.last("_knot", True).over(back)).withColumn("_a", F.first("_knot", True).over(ahead))
-    return found.where("_knot is null").select(*events.columns, F.col("_b.t").alias("t0"), F.col("_b.v").alias("v0"), F.col("_a.t").alias("t1"), F.col("_a.v").alias("v1"))
+    ).withColumn("_bucket", bucket)
+    w = Window.partitionBy(key, "_bucket")
+    found = both.withColumn("_b", F.last("_knot", True).over(w.orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.withColumn("_a", F.last("_knot", True).over(w.orderBy(F.desc(ts)).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.where("_knot is null")
+    if span:
+        ends = both.groupBy(key, "_bucket").agg(F.max("_knot.t").alias("high"), F.min("_knot.t").alias("low"), F.max_by("_knot", "_knot.t").alias("last"), F.min_by("_knot", "_knot.t").alias("first"))
+        per_key = Window.partitionBy(key)
+        ends = ends.withColumn("_before", F.last("last", True).over(per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+        ends = ends.withColumn("_after", F.last("first", True).over(per_key.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)))
+        found = found.join(ends.select(key, "_bucket", "_before", "_after"), [key, "_bucket"]).withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_after"))
+    return found.select(*events.columns, F.col("_b.t").alias("t0"), F.col("_b.v").alias("v0"), F.col("_a.t").alias("t1"), F.col("_a.v").alias("v1"))
 
 
 def interpolate(bracketed: DataFrame, ts: str) -> DataFrame:
