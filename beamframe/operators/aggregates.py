@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,65 @@ def voxel_spaced(df: DataFrame, size: float, order: list[str], most: int, axes:
     return cells.groupBy(*CELL).applyInPandas(run, cells.schema)
 
 
+def _xorshift_jumps() -> list[np.ndarray]:
+    """The generator's step as a matrix over bits, and its powers of two: column k is what bit k of a state becomes."""
+    def step(x: int) -> int:
+        x ^= (x << 13) & 0xFFFFFFFF
+        x ^= x >> 17
+        return x ^ ((x << 5) & 0xFFFFFFFF)
+
+    def apply(columns: list[int], x: int) -> int:
+        out = 0
+        for k in range(32):
+            if x >> k & 1:
+                out ^= columns[k]
+        return out
+
+    powers = [[step(1 << k) for k in range(32)]]
+    for _ in range(39):
+        powers.append([apply(powers[-1], c) for c in powers[-1]])
+    return [np.array(p, np.uint32) for p in powers]
+
+
+def xorshift(count: np.ndarray, seed: int = 42) -> np.ndarray:
+    """The number that a 32-bit xorshift generator (13, 17, 5) gives at its ``count``-th call, for an array of counts."""
+    count = np.asarray(count, np.int64)
+    x = np.full(len(count), seed, np.uint32)
+    for i, columns in enumerate(_xorshift_jumps()):
+        on = (count >> i) & 1 == 1
+        if not on.any():
+            continue
+        now, out = x[on], np.zeros(int(on.sum()), np.uint32)
+        for k in range(32):
+            out ^= np.where(now >> np.uint32(k) & np.uint32(1), columns[k], np.uint32(0))
+        x[on] = out
+    return x
+
+
+def voxel_random(df: DataFrame, size: float, order: list[str], fields: list[str], most: int, axes: tuple[str, ...] = ("x", "y", "z"), seed: int = 42) -> DataFrame:
+    """Up to ``most`` points a voxel (``slot``): the first fill it, each further one replaces the slot that a generator picks, in input order.
+
+    The generator is called once for each replacement of the whole input, in order; its
+    k-th number is computed by jumping ahead, so no task walks through the points.
+    """
+    from beamframe.operators.selection import numbered
+
+    cells = voxels(df, size, axes).withColumn("_i", F.row_number().over(Window.partitionBy(*CELL).orderBy(*order)) - 1)
+    more = numbered(cells.where(F.col("_i") >= most), order)
+
+    def pick(k: pd.Series) -> pd.Series:
+        return pd.Series((xorshift(k.to_numpy() + 1, seed).astype("u8") * most >> 32).astype("int32"))
+
+    placed = cells.where(F.col("_i") < most).withColumn("slot", F.col("_i").cast("int")).unionByName(more.withColumn("slot", F.pandas_udf(pick, "int")("seq")).drop("seq"))
+    last = placed.groupBy(*CELL, "slot").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("p"))
+    return last.select(*CELL, "slot", "p.*")
+
+
+def voxel_custom(df: DataFrame, size: float, bucket, schema: str, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:  # noqa: ANN001
+    """A user's own bucket: a function of a voxel's points (a pandas frame) to what it keeps, of the given schema. A voxel's points are one group."""
+    return voxels(df, size, axes).groupBy(*CELL).applyInPandas(bucket, schema)
+
+
 def voxel_shuffled(df: DataFrame, size: float, index: str, seed: int, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """The index of one pseudo-random point of each voxel, the same for one seed."""
     return voxels(df, size, axes).groupBy(*CELL).agg(F.min_by(index, F.struct(F.xxhash64(F.lit(seed), index), index)).alias(index))
@@ -69,6 +130,12 @@ def near_voxels(df: DataFrame, origin: tuple[int, int, int], most: float) -> Dat
     return df.where(d2 <= most * most)
 
 
+def evicted(df: DataFrame, origin: tuple[int, int, int], most: float) -> tuple[DataFrame, DataFrame]:
+    """(voxels that stay, voxels that are removed): extraction of what lies farther than ``most`` voxels from the origin's."""
+    d2 = sum((F.col(c) - o) * (F.col(c) - o) for c, o in zip(CELL, origin, strict=True))
+    return df.where(d2 <= most * most), df.where(d2 > most * most)
+
+
 def frame_stats(df: DataFrame, keys: list[str], ts: str, size: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_if(F.col(size) == 0).alias("missing"))
 
@@ -95,9 +162,17 @@ def trimmed_voxel_size(df: DataFrame, frame: str, value: str, order: list[str],
     return kept.agg(F.count(F.lit(1)).alias("used"), (F.avg(value) * 0.001 / 46 * 2).alias("voxel_size"))
 
 
-def linear_system(pairs: DataFrame, kernel: float) -> DataFrame:
-    """Sums of the weighted normal equations of point pairs (p.. moved onto q..): 21 of J'J, 6 of J'r, with robust weights."""
+def linear_system(pairs: DataFrame, kernel: float, plane: bool = False) -> DataFrame:
+    """Sums of the weighted normal equations of point pairs (p.. moved onto q..): 21 of J'J, 6 of J'r, with robust weights; with ``plane`` of the distances along n.. only."""
     r = {a: F.col(f"p{a}") - F.col(f"q{a}") for a in "xyz"}
+    if plane:
+        n = {a: F.col(f"n{a}") for a in "xyz"}
+        e = sum((n[a] * r[a] for a in "xyz"), F.lit(0.0))
+        p = {a: F.col(f"p{a}") for a in "xyz"}
+        j = [n["x"], n["y"], n["z"], p["y"] * n["z"] - p["z"] * n["y"], p["z"] * n["x"] - p["x"] * n["z"], p["x"] * n["y"] - p["y"] * n["x"]]
+        w = F.pow(F.lit(kernel) / (F.lit(kernel) + e * e), 2)
+        sums = {f"h{i}{k}": j[i] * j[k] * w for i in range(6) for k in range(i, 6)} | {f"b{i}": j[i] * e * w for i in range(6)}
+        return pairs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     r2 = sum((r[a] * r[a] for a in "xyz"), F.lit(0.0))
     w = F.pow(F.lit(kernel) / (F.lit(kernel) + r2), 2)
     x, y, z, one, none = F.col("px"), F.col("py"), F.col("pz"), F.lit(1.0), F.lit(0.0)
@@ -114,13 +189,13 @@ def digest(df: DataFrame, keys: list[str], value: Column, order: list[str]) -> D
 
 
 def zone_counts(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Occupancy of zones: pixels inside, nearer (occlusion), without a return, and the ranges of those inside."""
+    """Occupancy of zones: pixels inside, at near or nearer (occlusion), without a return where the zone is rendered, and the ranges of those inside."""
     inside = (F.col("range_mm") > 0) & F.col("range_mm").between(F.col("near_mm"), F.col("far_mm"))
     r = F.when(inside, F.col("range_mm"))
     return hits.groupBy(*keys).agg(
         F.count_if(inside).alias("count"),
-        F.count_if((F.col("range_mm") > 0) & (F.col("range_mm") < F.col("near_mm"))).alias("occlusion"),
-        F.count_if(F.col("range_mm") == 0).alias("invalid"),
+        F.count_if((F.col("range_mm") > 0) & (F.col("range_mm") <= F.col("near_mm"))).alias("occlusion"),
+        F.count_if((F.col("range_mm") == 0) & (F.col("near_mm") > 0)).alias("invalid"),
         F.min(r).alias("min_range"),
         F.max(r).alias("max_range"),
         F.avg(r).alias("mean_range"),

@@ -43,9 +43,30 @@ def filter_uv(df: DataFrame, axis: str, lo: float, hi: float, size: int, fields:
     return _overwrite(df, fields, (at >= a) & (at < b), invalid)
 
 
-def filter_xyz(df: DataFrame, axis: str, lo: float, hi: float, fields: list[str], invalid: float = 0) -> DataFrame:
-    """Closed interval on a coordinate; pixels without a return sit at the origin and match if it is inside."""
-    return _overwrite(df, fields, F.col(axis).between(lo, hi), invalid)
+def resolved(df: DataFrame, fields: list[str] | None, classes: dict[str, str]) -> list[str]:
+    """The pixel fields that a filter writes: all of the frame's without a list; a listed field of another class is an error, one that the frame lacks is left out."""
+    if fields is None:
+        return [f for f in df.columns if classes.get(f) == "PIXEL"]
+    wrong = [f for f in fields if f in df.columns and classes.get(f, "PIXEL") != "PIXEL"]
+    if wrong:
+        raise ValueError(f"not a field of pixels: {', '.join(wrong)}")
+    return [f for f in fields if f in df.columns]
+
+
+def filter_xyz(df: DataFrame, axis: str, lo: float, hi: float, fields: list[str], invalid: float = 0, frame: str = "") -> DataFrame:
+    """Closed interval on a coordinate; pixels without a return sit at the origin and match if it is inside.
+
+    ``frame``: the beginning of the coordinates' names, as there are of the sensor's, the body's and the
+    world's frame ("body_" reads body_x ...). Fields of the second return (ending in 2) go by its own
+    coordinates (x2 ...) where the frame has them.
+    """
+    def at(name: str) -> Column:
+        return F.col(name).between(lo, hi)
+
+    second = f"{frame}{axis}2"
+    own = [f for f in fields if f.endswith("2") and second in df.columns]
+    out = _overwrite(df, [f for f in fields if f not in own], at(f"{frame}{axis}"), invalid)
+    return _overwrite(out, own, at(second), invalid) if own else out
 
 
 def mask(df: DataFrame, image: DataFrame, fields: list[str], keys: tuple[str, ...] = ("row", "col")) -> DataFrame:

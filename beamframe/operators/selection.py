@@ -27,6 +27,11 @@ def select_rows(df: DataFrame, rows: list[int], height: int) -> DataFrame:
     return df.where(F.col("row").isin(rows)).withColumn("row", to[F.col("row").cast("int")])
 
 
+def select_beams(beams: DataFrame, rows: list[int], height: int, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(beams, rendered zone images) of a sensor that keeps the given rows: angles, shifts and images follow."""
+    return select_rows(beams, rows, height), None if images is None else select_rows(images, rows, height)
+
+
 def numbered(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """``seq``: the position by ``order``, from 0.
 
@@ -45,7 +50,7 @@ def slice_frames(df: DataFrame, start: int | None, stop: int | None, step: int =
     """Python's slice over ``seq``; negative bounds count from the end and need the size."""
     if step <= 0:
         raise ValueError("the step must be positive")
-    n = size if size is not None else (df.agg(F.max(seq)).first()[0] or -1) + 1 if min(start or 0, stop or 0) < 0 else None
+    n = size if size is not None else df.agg(F.coalesce(F.max(seq) + 1, F.lit(0))).first()[0] if min(start or 0, stop or 0) < 0 else None
     a = 0 if start is None else max(0, start + n) if start < 0 else start
     b = None if stop is None else max(0, stop + n) if stop < 0 else stop
     if b is not None and a > b:
@@ -67,7 +72,7 @@ def single(df: DataFrame, sensor: int, column: str = "sensor_idx") -> DataFrame:
 
 
 def at_index(df: DataFrame, index: int, size: int | None = None) -> DataFrame:
-    n = size if size is not None else df.agg(F.max("seq")).first()[0] + 1 if index < 0 else 0
+    n = size if size is not None else df.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0] if index < 0 else 0
     return df.where(F.col("seq") == (index + n if index < 0 else index))
 
 
@@ -114,6 +119,13 @@ def sampled_points(df: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     return df.where("range_mm > 0").sample(ratio, seed)
 
 
+def sampled_map(df: DataFrame, ratio: float, most: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """A map of ``most`` points at most: a share of each key frame's points with a return, chosen by a hash of their keys, the same for one seed."""
+    h = F.xxhash64(F.lit(seed), *keys)
+    share = F.pmod(h, F.lit(1 << 32)) < int(ratio * (1 << 32))
+    return df.where((F.col("range_mm") > 0) & share).orderBy(h, *keys).limit(most)
+
+
 def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         for i in range(0, len(b), size):

@@ -141,22 +141,203 @@ def sensor_rows(document: str) -> tuple[dict, list[tuple[int, float, float, int]
     return sensor, [(i, float(a), float(b), int(s)) for i, (a, b, s) in enumerate(zip(azimuth, altitude, shifts, strict=False))], issues
 
 
+#: Bytes of a point and place of its colour by the format of a LAS file's points.
+LAS_POINTS = {0: (20, None), 1: (28, None), 2: (26, 20), 3: (34, 28), 6: (30, None), 7: (36, 30), 8: (38, 30)}
+
+
+def parse_las(data: bytes) -> dict[str, np.ndarray]:
+    """x, y, z, intensity and, where there are any, red, green, blue of an uncompressed LAS file."""
+    if data[:4] != b"LASF":
+        raise ValueError("not a LAS file")
+    minor, begin = data[25], struct.unpack_from("<I", data, 96)[0]
+    kind, size, count = struct.unpack_from("<BHI", data, 104)
+    if kind & 0x80 or kind & 0x3F not in LAS_POINTS:
+        raise ValueError(f"points of format {kind} aren't supported")
+    if minor >= 4 and not count:
+        count = struct.unpack_from("<Q", data, 247)[0]
+    scale, offset = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
+    rows = np.frombuffer(data, np.uint8, count * size, begin).reshape(count, size)
+    xyz = np.ascontiguousarray(rows[:, :12]).view("<i4") * scale + offset
+    out = dict(zip("xyz", xyz.T, strict=True)) | {"intensity": np.ascontiguousarray(rows[:, 12:14]).view("<u2").ravel().astype(float)}
+    colour = LAS_POINTS[kind & 0x3F][1]
+    if colour:
+        rgb = np.ascontiguousarray(rows[:, colour : colour + 6]).view("<u2")
+        out |= dict(zip(("red", "green", "blue"), rgb.T.astype(float), strict=True))
+    return out
+
+
+def write_las(points: np.ndarray, intensity: np.ndarray | None = None, rgb: np.ndarray | None = None, scale: float = 0.001) -> bytes:
+    """A LAS 1.2 file."""
+    kind, size = (2, 26) if rgb is not None else (0, 20)
+    low = points.min(axis=0) if len(points) else np.zeros(3)
+    rows = np.zeros((len(points), size), np.uint8)
+    rows[:, :12] = np.round((points - low) / scale).astype("<i4").view(np.uint8).reshape(len(points), 12)
+    if intensity is not None:
+        rows[:, 12:14] = intensity.astype("<u2")[:, None].view(np.uint8)
+    if rgb is not None:
+        rows[:, 20:26] = np.ascontiguousarray(rgb.astype("<u2")).view(np.uint8).reshape(len(points), 6)
+    head = bytearray(227)
+    head[:4], head[24:26] = b"LASF", bytes((1, 2))
+    struct.pack_into("<HII", head, 94, 227, 227, 0)
+    struct.pack_into("<BHI", head, 104, kind, size, len(points))
+    struct.pack_into("<3d3d", head, 131, scale, scale, scale, *low.tolist())
+    high = points.max(axis=0) if len(points) else np.zeros(3)
+    struct.pack_into("<6d", head, 179, *[x for a in range(3) for x in (high[a], low[a])])
+    return bytes(head) + rows.tobytes()
+
+
+def parse_attributes(data: bytes) -> dict[str, np.ndarray]:
+    """All numbers of the points of a PLY, PCD or LAS file, by name; colours as red, green, blue, a packed colour taken apart."""
+    if data[:4] == b"LASF":
+        return parse_las(data)
+    out: dict[str, np.ndarray] = {}
+    if data.startswith(b"ply"):
+        head, _, body = data.partition(b"end_header\n")
+        lines = [x.split() for x in head.decode("ascii").splitlines()]
+        kind = next(x[1] for x in lines if x[:1] == ["format"])
+        at = next(i for i, x in enumerate(lines) if x[:2] == ["element", "vertex"])
+        count, fields = int(lines[at][2]), []
+        for x in lines[at + 1 :]:
+            if x[0] != "property":
+                break
+            fields.append((x[2], PLY_TYPES[x[1]]))
+        order = ">" if "big" in kind else "<"
+        ascii_ = kind.startswith("ascii")
+    else:
+        head, at = {}, 0
+        while "DATA" not in head:
+            end = data.index(b"\n", at)
+            words = data[at:end].decode("ascii").split()
+            if words and not words[0].startswith("#"):
+                head[words[0]] = words[1:]
+            at = end + 1
+        fields = [(f, {"F": "f", "U": "u", "I": "i"}[t] + s) for f, t, s in zip(head["FIELDS"], head["TYPE"], head["SIZE"], strict=True)]
+        count, order, ascii_, body = int(head["POINTS"][0]), "<", head["DATA"][0] == "ascii", data[at:]
+    if ascii_:
+        table = np.array(body.split()[: count * len(fields)], float).reshape(count, len(fields))
+        out = {f: table[:, i] for i, (f, _) in enumerate(fields)}
+    else:
+        rows = np.frombuffer(body, np.dtype([(f, order + t) for f, t in fields]), count)
+        out = {f: rows[f] for f, _ in fields}
+    for name in ("rgb", "rgba"):
+        if name in out:
+            x = out.pop(name)
+            bits = np.ascontiguousarray(x.astype("<f4")).view("<u4") if x.dtype.kind == "f" and not ascii_ else x.astype(np.uint32)
+            out |= {"red": bits >> 16 & 255, "green": bits >> 8 & 255, "blue": bits & 255}
+    return {k: np.asarray(v, float) for k, v in out.items()}
+
+
+def read_coloured(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z, red, green, blue, intensity of PLY, PCD and LAS files; null for what a file lacks."""
+    names = ["x", "y", "z", "red", "green", "blue", "intensity"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for name, content in zip(t["path"], t["content"], strict=True):
+                p = parse_attributes(bytes(content))
+                n = len(p["x"])
+                for at in range(0, n, 65536):
+                    yield pd.DataFrame({k: p[k][at : at + 65536] if k in p else np.full(min(n - at, 65536), np.nan) for k in names}).assign(path=name)
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(f"{k} double" for k in names) + ", path string")
+    return found.withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in names[3:]})
+
+
+def read_mesh(spark: SparkSession, path: str) -> DataFrame:
+    """(path, v0x .. v2z) of STL meshes."""
+    names = [f"v{i}{a}" for i in range(3) for a in "xyz"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for name, content in zip(t["path"], t["content"], strict=True):
+                yield pd.DataFrame(parse_stl(bytes(content)).reshape(-1, 9), columns=names).assign(path=name)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(f"{k} double" for k in names) + ", path string")
+
+
+#: What a source is by the end of its name.
+KINDS = {".pcap": "capture", ".pcapng": "capture", ".parquet": "frames", ".bag": "recording", ".mcap": "recording", ".ply": "cloud", ".pcd": "cloud", ".las": "coloured", ".stl": "mesh", ".json": "metadata", ".txt": "poses"}
+#: Kinds that can't be read here, and why.
+REFUSED = {".osf": "the container format isn't read; convert it to the Parquet frame store", ".laz": "compressed LAS files aren't read"}
+
+
 def io_type(uri: str) -> str:
-    """What a source is, by its name."""
-    kinds = {".pcap": "pcap", ".pcapng": "pcap", ".osf": "frames", ".parquet": "frames", ".bag": "bag", ".mcap": "bag", ".ply": "cloud", ".pcd": "cloud", ".stl": "mesh", ".json": "metadata"}
-    if "://" in uri and not uri.startswith("file://"):
+    """What a source is, by its name: a folder of frames or recordings, a file by its end, a URL."""
+    name = uri.lower().rstrip("/")
+    if "://" in uri and not uri.startswith(("file://", "hdfs://", "s3a://", "viewfs://", "abfss://", "gs://")):
         return "url"
-    for end, kind in kinds.items():
-        if uri.lower().rstrip("/").endswith(end):
+    for end, why in REFUSED.items():
+        if name.endswith(end):
+            raise ValueError(f"{uri}: {why}")
+    for end, kind in KINDS.items():
+        if name.endswith(end):
             return kind
+    if "." not in name.rsplit("/", 1)[-1]:
+        return "frames"
     raise ValueError(f"unknown kind of source: {uri}")
 
 
-def open_source(spark: SparkSession, uri: str) -> DataFrame:
-    from beamframe.sources.captures import read_pcap
+def open_source(spark: SparkSession, uri: str | list[str], fields: list[str] | None = None, sensor_idx: int | None = None, reader: str | None = None) -> DataFrame:
+    """Any source, or several of one kind in one table.
 
-    kind = io_type(uri)
-    readers = {"pcap": read_pcap, "frames": lambda s, u: s.read.parquet(u), "cloud": read_cloud}
-    if kind not in readers:
+    ``fields`` and ``sensor_idx`` reach the scan of a frame store; ``reader`` names a registered reader instead of the one by name.
+    """
+    uris = [uri] if isinstance(uri, str) else list(uri)
+    kinds = {reader or io_type(u) for u in uris}
+    if len(kinds) != 1:
+        raise ValueError(f"sources of different kinds: {', '.join(sorted(kinds)) or 'none'}")
+    kind = kinds.pop()
+    if kind not in READERS:
         raise ValueError(f"no reader for {kind}")
-    return readers[kind](spark, uri)
+    out = None
+    for u in uris:
+        one = READERS[kind](spark, u)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if sensor_idx is not None and "sensor_idx" in out.columns:
+        out = out.where(F.col("sensor_idx") == sensor_idx)
+    return out if fields is None else out.select(*fields)
+
+
+def open_packet_source(spark: SparkSession, uri: str | list[str]) -> DataFrame:
+    """Packets (host_ts, payload and what the source tells of their way) of captures or recordings."""
+    from beamframe.sources import captures, recordings
+
+    uris = [uri] if isinstance(uri, str) else list(uri)
+    kinds = {io_type(u) for u in uris}
+    if len(kinds) != 1 or not kinds <= {"capture", "recording"}:
+        raise ValueError("packets come from captures or recordings, of one kind")
+    out = None
+    for u in uris:
+        one = captures.read_packets(spark, u).withColumnRenamed("ts_ns", "host_ts") if kinds == {"capture"} else recordings.message_packets(recordings.read_messages(spark, u))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _captures(spark: SparkSession, uri: str) -> DataFrame:
+    from beamframe.sources.captures import read_packets
+
+    return read_packets(spark, uri)
+
+
+def _recordings(spark: SparkSession, uri: str) -> DataFrame:
+    from beamframe.sources.recordings import read_messages
+
+    return read_messages(spark, uri)
+
+
+def _metadata(spark: SparkSession, uri: str) -> DataFrame:
+    from beamframe.sources.metadata import read
+
+    return read(spark, uri)[0]
+
+
+#: Readers by kind; ``add_reader`` adds to them.
+READERS = {"capture": _captures, "recording": _recordings, "frames": lambda s, u: s.read.parquet(u), "cloud": read_cloud, "coloured": read_coloured, "mesh": read_mesh, "poses": read_kitti, "metadata": _metadata}
+
+
+def add_reader(kind: str, reader, ends: tuple[str, ...] = ()) -> None:  # noqa: ANN001
+    """A reader of a user's own kind, and the ends of names that it takes."""
+    if kind in READERS:
+        raise ValueError(f"there is a reader for {kind}")
+    READERS[kind] = reader
+    KINDS.update(dict.fromkeys(ends, kind))
