@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamframe.functions import scalar
 from beamframe.operators import aggregates as agg
 from beamframe.operators import filters, images, joins, projection, registration, selection, windows
+from beamframe.plans.registry import QUERIES, SQL, Query, q6, query
 from beamframe.plans.standins import CLOUD, LINE_ORDER, POINTS, TRACK, cloud, epoch_us, micro, points, table, track
 from beamframe.streaming import batcher, collator
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 L = ", ".join(LINE_ORDER)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def q6(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # ------------------------------------------------------------- filters
@@ -127,10 +108,10 @@ def q_newest(spark, sf):
     return selection.newest(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("SELECT o_orderkey, o_orderdate FROM orders")
 def q_merge_sources(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    return selection.merged([o.where(F.col("o_orderstatus") == s) for s in ("F", "O")], ["o_orderdate", "o_orderkey"]).drop("o_orderstatus")
+    return selection.merged([o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")], ["o_orderdate", "o_orderkey"]).drop("o_orderstatus")
 
 
 @query()
@@ -317,7 +298,7 @@ def _zones(spark):
     return px.where(F.col("row") % 4 != F.col("zone_id")).withColumn("near_mm", F.col("zone_id").cast("long") * 8000).withColumn("far_mm", F.col("near_mm") + 20000)
 
 
-@query(f"""SELECT zone_id, count(*) FILTER (inside) AS "count", count(*) FILTER (range_mm > 0 AND range_mm < near_mm) AS occlusion, count(*) FILTER (range_mm = 0) AS invalid,
+@query(f"""SELECT zone_id, count(*) FILTER (inside) AS "count", count(*) FILTER (range_mm > 0 AND range_mm <= near_mm) AS occlusion, count(*) FILTER (range_mm = 0 AND near_mm > 0) AS invalid,
     min(range_mm) FILTER (inside) AS min_range, max(range_mm) FILTER (inside) AS max_range, {q6('sum(range_mm) FILTER (inside) / count(*) FILTER (inside)')} AS mean_range
     FROM (SELECT *, range_mm > 0 AND range_mm BETWEEN near_mm AND far_mm AS inside FROM {POINTS} p JOIN {ZONES} z ON p."row" = z."row") GROUP BY zone_id""")
 def q_zone_counts(spark, sf):
@@ -374,11 +355,48 @@ def q_digest(spark, sf):
 W = "pow(2.0 / (2.0 + pow(x * 0.01, 2) + pow(y * 0.02, 2) + pow(0.01 * z, 2)), 2)"
 
 
-@query(f"SELECT count(*) AS n, floor(sum({W}) * 1e3 + 0.5) / 1e3 AS h00, floor(sum({W} * (z * z + y * y)) * 1e-1 + 0.5) / 1e-1 AS h33, floor(sum({W} * x * 0.01) * 1e2 + 0.5) / 1e2 AS b0 FROM {CLOUD}")
+#: The rows of J by coordinate, and the residuals, as SQL.
+_J = {"x": ["1", "0", "0", "0", "z", "-y"], "y": ["0", "1", "0", "-z", "0", "x"], "z": ["0", "0", "1", "y", "-x", "0"]}
+_R = {"x": "0.01 * x", "y": "0.02 * y", "z": "0.01 * z"}
+_SUMS = {f"h{i}{j}": " + ".join(f"({_J[a][i]}) * ({_J[a][j]})" for a in "xyz") for i in range(6) for j in range(i, 6)} | {f"b{i}": " + ".join(f"({_J[a][i]}) * ({_R[a]})" for a in "xyz") for i in range(6)}
+
+
+@query(f"SELECT n, {', '.join(f'CAST(round({k} / 10) AS BIGINT) AS {k}' for k in _SUMS)} FROM (SELECT count(*) AS n, {', '.join(f'sum({W} * ({v})) AS {k}' for k, v in _SUMS.items())} FROM {CLOUD})")
 def q_linear_system(spark, sf):
     c = cloud(spark, sf).select(*[F.col(a).alias(f"p{a}") for a in "xyz"], (F.col("x") * 0.99).alias("qx"), (F.col("y") * 0.98).alias("qy"), (F.col("z") * 0.99).alias("qz"))
     s = agg.linear_system(c, 2.0)
-    return s.select("n", (F.floor(F.col("h00") * 1e3 + 0.5) / 1e3).alias("h00"), (F.floor(F.col("h33") * 1e-1 + 0.5) / 1e-1).alias("h33"), (F.floor(F.col("b0") * 1e2 + 0.5) / 1e2).alias("b0"))
+    return s.select("n", *[F.round(F.col(k) / 10).cast("long").alias(k) for k in _SUMS])
+
+
+@query(f"""SELECT CAST(floor(c_acctbal / 500) AS INTEGER) AS vx, CAST(slot AS INTEGER) AS slot, arg_max(c_custkey, c_custkey) AS c_custkey FROM (
+    WITH RECURSIVE r(k, v) AS (SELECT CAST(0 AS BIGINT), CAST(42 AS BIGINT) UNION ALL SELECT k + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT k, xor(b, b >> 17) AS c FROM (SELECT k, xor(v, (v << 13) & 4294967295) AS b FROM r WHERE k < (SELECT count(*) FROM customer)))),
+    p AS (SELECT c_custkey, c_acctbal, row_number() OVER (PARTITION BY floor(c_acctbal / 500) ORDER BY c_custkey) - 1 AS i FROM customer),
+    q AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM p WHERE i >= 3)
+    SELECT c_custkey, c_acctbal, i AS slot FROM p WHERE i < 3 UNION ALL SELECT c_custkey, c_acctbal, (v * 3) >> 32 FROM q JOIN r USING (k)) GROUP BY 1, 2""")
+def q_voxel_random(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return agg.voxel_random(c, 500.0, ["c_custkey"], ["c_custkey"], 3).select("vx", "slot", "c_custkey")
+
+
+@query("SELECT vx, vy, vz FROM (SELECT CAST(floor(l_quantity * 0.2) AS INTEGER) AS vx, CAST(floor(l_discount * 100 * 0.2) AS INTEGER) AS vy, CAST(floor(l_extendedprice / 1000 * 0.2) AS INTEGER) AS vz FROM lineitem GROUP BY 1, 2, 3) WHERE (vx - 2) * (vx - 2) + vy * vy + (vz - 4) * (vz - 4) > 9")
+def q_voxel_evicted(spark, sf):
+    return agg.evicted(agg.voxel_average(cloud(spark, sf), 5.0, []), (2, 0, 4), 3)[1].select("vx", "vy", "vz")
+
+
+@query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+def q_voxel_custom(spark, sf):
+    """A bucket of a user's own."""
+    import pandas as pd
+
+    p = table(spark, sf, "part").select("p_size", F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return agg.voxel_custom(p, 1.0, lambda t: pd.DataFrame({"p_size": t["p_size"].iloc[:1], "n": [len(t)]}), "p_size int, n long")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN y * 2 BETWEEN 2 AND 5 THEN 0 ELSE z END AS RANGE, CASE WHEN y BETWEEN 2 AND 5 THEN 0 ELSE z END AS RANGE2 FROM {CLOUD}")
+def q_filter_frames(spark, sf):
+    """Coordinates of another frame, and of the second return."""
+    c = cloud(spark, sf).select("l_orderkey", "l_linenumber", F.col("z").alias("RANGE"), F.col("z").alias("RANGE2"), (F.col("y") * 2).alias("body_y"), F.col("y").alias("body_y2"))
+    return filters.filter_xyz(c, "y", 2, 5, ["RANGE", "RANGE2"], frame="body_").select("l_orderkey", "l_linenumber", "RANGE", "RANGE2")
 
 
 # ------------------------------------------------------------- sequences
@@ -478,7 +496,7 @@ def q_batch_exact(spark, sf):
 
 @query()
 def q_collate(spark, sf):
-    frames = batcher.batch_summary(_packets(spark, sf)).select(F.lit(0).alias("session"), "sensor_idx", "frame_id", F.col("last_ts").alias("ts"))
+    frames = batcher.batch_summary(_packets(spark, sf)).select(F.floor(F.col("frame_id") / 16).alias("session"), "sensor_idx", "frame_id", F.col("last_ts").alias("ts"))
     return collator.collate(frames, "session", sensors=4, dt=10_800_000_000_000)
 
 
@@ -507,7 +525,7 @@ def q_clahe(spark, sf):
 @query()
 def q_clusters(spark, sf):
     """Euclidean clustering, an extension: detections of the open operators' interface."""
-    p = table(spark, sf, "customer").select(F.lit(0).alias("frame_id"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") / 10).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    p = table(spark, sf, "customer").select((F.col("c_custkey") % 16).cast("int").alias("frame_id"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") / 10).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
     return images.clusters(p, 0.8)
 
 
@@ -520,3 +538,7 @@ def q_icp(spark, sf):
     reach = max(0.1, (box["x"] * box["y"] * box["z"] / box["n"]) ** (1 / 3)) if box["n"] else 0.1
     pose = registration.align(source, target, reach, 1.0)
     return spark.createDataFrame([(i, j, float(pose[i, j])) for i in range(4) for j in range(4)], "r int, c int, v double")
+
+
+# the other parts of the catalogue register themselves
+from beamframe import catalogue_sensors, catalogue_tracks  # noqa: E402, F401
