@@ -291,6 +291,6 @@ def key_bits(keys: DataFrame, column: str, log2: int = 24) -> Bits:
     shape = "at long, bits binary"
     blocks = keys.select(F.col(column).cast("long")).mapInArrow(fold, shape).repartition("at").mapInArrow(join, shape)
     bitmap = np.zeros(1 << (log2 - 3), np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # 2**log2 / 8 bytes in all at most
         bitmap[row["at"] : row["at"] + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
     return Bits(log2, bitmap)

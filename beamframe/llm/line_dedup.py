@@ -155,7 +155,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(texts: DataFrame) -> np.ndarray:
     """The level of each entry: an eighth of a power of two of its count, 0 for a word that stands once in all texts."""
     out = np.zeros(1 << RARITY, np.uint32)
-    for r in texts.select("text").mapInArrow(lean(_count), "at long, n binary").repartition("at").mapInArrow(lean(_sum), "at long, n binary").toLocalIterator():
+    for r in texts.select("text").mapInArrow(lean(_count), "at long, n binary").repartition("at").mapInArrow(lean(_sum), "at long, n binary").collect():  # 4 bytes an entry
         out[r["at"] : r["at"] + len(r["n"]) // 4] = np.frombuffer(r["n"], "<u4")
     return np.minimum(255, np.log2(np.maximum(out, 1)) * 8).astype(np.uint8)
 
