@@ -114,7 +114,11 @@ def q_merge_sources(spark, sf):
     return selection.merged([o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")], ["o_orderdate", "o_orderkey"]).drop("o_orderstatus")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT user_id, ts_us, event_id, value AS x, CAST(milli % 7 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts_us) AS i FROM {TRACK}),
+k AS (SELECT *, x AS lx, y AS ly, 0 AS since, true AS keep FROM t WHERE i = 1
+    UNION ALL SELECT user_id, ts_us, event_id, x, y, z, i, CASE WHEN hit THEN x ELSE lx END, CASE WHEN hit THEN y ELSE ly END, CASE WHEN hit THEN 0 ELSE since + 1 END, hit
+    FROM (SELECT t.*, k.lx, k.ly, k.since, k.since + 1 >= 10 OR sqrt(power(t.x - k.lx, 2) + power(t.y - k.ly, 2)) >= 50 AS hit FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1))
+SELECT user_id, ts_us, event_id, x, y, z FROM k WHERE keep""")
 def q_key_frames(spark, sf):
     t = track(spark, sf).select("user_id", "ts_us", "event_id", F.col("value").alias("x"), (F.col("milli") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
     return selection.key_frames(t, "user_id", "ts_us", 10, 50.0)
@@ -190,12 +194,17 @@ def q_voxel_last(spark, sf):
     return agg.voxel_last(cloud(spark, sf), 5.0, LINE_ORDER, ["x", "y", "z"])
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY {L}) AS i FROM (SELECT *, {V} FROM {CLOUD})),
+k AS (SELECT vx, vy, vz, x, y, z, i, [x] AS kx, [y] AS ky, [z] AS kz, true AS keep FROM t WHERE i = 1
+    UNION ALL SELECT vx, vy, vz, x, y, z, i, CASE WHEN hit THEN list_append(kx, x) ELSE kx END, CASE WHEN hit THEN list_append(ky, y) ELSE ky END, CASE WHEN hit THEN list_append(kz, z) ELSE kz END, hit
+    FROM (SELECT t.vx, t.vy, t.vz, t.x, t.y, t.z, t.i, kx, ky, kz, len(kx) < 3 AND list_min(list_transform(range(1, len(kx) + 1), lambda j: power(kx[j] - t.x, 2) + power(ky[j] - t.y, 2) + power(kz[j] - t.z, 2))) >= 25.0::DOUBLE / 3 AS hit
+        FROM k JOIN t ON t.vx = k.vx AND t.vy = k.vy AND t.vz = k.vz AND t.i = k.i + 1))
+SELECT vx, vy, vz, x, y, z FROM k WHERE keep""")
 def q_voxel_spaced(spark, sf):
     return agg.voxel_spaced(cloud(spark, sf), 5.0, LINE_ORDER, 3).select("vx", "vy", "vz", "x", "y", "z")
 
 
-@query()
+@query("SELECT CAST(floor(c_acctbal / 100 * 0.2) AS INTEGER) AS vx, 0 AS vy, 0 AS vz, arg_min(c_custkey, [md5('42:' || c_custkey), CAST(c_custkey AS VARCHAR)]) AS i FROM customer GROUP BY 1")
 def q_voxel_shuffled(spark, sf):
     return agg.voxel_shuffled(table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), (F.col("c_acctbal") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")), 5.0, "i", 42)
 
@@ -494,7 +503,13 @@ def q_batch_exact(spark, sf):
     return batcher.batch_exact(_packets(spark, sf), expected=5)
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT CAST(user_id % 4 AS INTEGER) AS sensor_idx, CAST((epoch_us(ts) // 21600000000) % 65536 AS BIGINT) AS frame_id, max(epoch_us(ts) * 1000) AS ts FROM events GROUP BY 1, 2),
+t AS (SELECT frame_id // 16 AS session, sensor_idx, frame_id, ts, row_number() OVER (PARTITION BY frame_id // 16 ORDER BY ts, sensor_idx) AS i FROM f),
+s AS (SELECT session, sensor_idx, frame_id, i, CAST(0 AS BIGINT) AS set_id, CAST(0 AS BIGINT) AS closed, ts AS first_ts, [sensor_idx] AS slots FROM t WHERE i = 1
+    UNION ALL SELECT session, sensor_idx, frame_id, i, mine, CASE WHEN len(held) = 4 THEN mine + 1 ELSE mine END, CASE WHEN len(held) = 4 THEN NULL ELSE begun END, CASE WHEN len(held) = 4 THEN [] ELSE held END
+    FROM (SELECT t.session, t.sensor_idx, t.frame_id, t.i, s.closed + CASE WHEN flush THEN 1 ELSE 0 END AS mine, CASE WHEN flush OR s.first_ts IS NULL THEN t.ts ELSE s.first_ts END AS begun, CASE WHEN flush THEN [t.sensor_idx] ELSE list_append(s.slots, t.sensor_idx) END AS held
+        FROM (SELECT s.*, t.sensor_idx AS ns, t.ts AS nts, (coalesce(t.ts >= s.first_ts + 10800000000000, false) OR list_contains(s.slots, t.sensor_idx)) AND len(s.slots) > 0 AS flush FROM s JOIN t ON t.session = s.session AND t.i = s.i + 1) s JOIN t ON t.session = s.session AND t.i = s.i + 1))
+SELECT session, set_id, sensor_idx, frame_id FROM s""")
 def q_collate(spark, sf):
     frames = batcher.batch_summary(_packets(spark, sf)).select(F.floor(F.col("frame_id") / 16).alias("session"), "sensor_idx", "frame_id", F.col("last_ts").alias("ts"))
     return collator.collate(frames, "session", sensors=4, dt=10_800_000_000_000)
@@ -522,11 +537,15 @@ def q_clahe(spark, sf):
     return images.equalised(g, "v", 32, 64)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT CAST(c_custkey % 16 AS INTEGER) AS f, c_acctbal / 10 AS x, CAST(c_nationkey AS DOUBLE) AS y, floor(c_acctbal / 10 / 0.8::DOUBLE) AS cx, floor(c_nationkey / 0.8::DOUBLE) AS cy FROM customer),
+c AS (SELECT DISTINCT f, cx, cy FROM p), e AS (SELECT a.f, a.cx, a.cy, b.cx AS dx, b.cy AS dy FROM c a JOIN c b ON a.f = b.f AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1),
+r(f, cx, cy, ox, oy) AS (SELECT f, cx, cy, cx, cy FROM c UNION SELECT r.f, r.cx, r.cy, e.dx, e.dy FROM r JOIN e ON r.f = e.f AND r.ox = e.cx AND r.oy = e.cy),
+l AS (SELECT f, cx, cy, min([ox, oy]) AS o FROM r GROUP BY 1, 2, 3)
+SELECT p.f AS frame_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, 0.0::DOUBLE AS z_min, 0.0::DOUBLE AS z_max, count(*) AS n FROM p JOIN l USING (f, cx, cy) GROUP BY p.f, o""")
 def q_clusters(spark, sf):
     """Euclidean clustering, an extension: detections of the open operators' interface."""
     p = table(spark, sf, "customer").select((F.col("c_custkey") % 16).cast("int").alias("frame_id"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") / 10).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
-    return images.clusters(p, 0.8)
+    return images.clusters(p, 0.8).drop("object_id")
 
 
 @query()

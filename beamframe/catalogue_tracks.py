@@ -238,11 +238,17 @@ def q_loop_closures(spark, sf):
     return mapping.loop_closures(_path(spark, sf), "user_id", "event_id", "ts_ns", 30.0, 0.5).select("user_id", "event_id", "candidate")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT user_id, event_id, ts_ns, x AS px, y AS py, CASE WHEN event_id % 3 <> 0 THEN 48 + y / 1000 END AS lat, CASE WHEN event_id % 3 <> 0 THEN 11 + x / 1000 END AS lon, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {PATH}),
+k AS (SELECT user_id, ts_ns, px, py, lat, lon, i, CASE WHEN lat IS NULL THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS since, lat AS lat0, lon AS lon0, lat IS NOT NULL AS used FROM t WHERE i = 2
+    UNION ALL SELECT user_id, ts_ns, px, py, lat, lon, i, CASE WHEN hit THEN 0 ELSE way END, CASE WHEN hit THEN coalesce(lat0, lat) ELSE lat0 END, CASE WHEN hit THEN coalesce(lon0, lon) ELSE lon0 END, hit
+    FROM (SELECT t.user_id, t.ts_ns, t.px, t.py, t.lat, t.lon, t.i, k.lat0, k.lon0, k.since + sqrt(power(t.px - k.px, 2) + power(t.py - k.py, 2)) AS way, t.lat IS NOT NULL AND (k.lat0 IS NULL OR k.since + sqrt(power(t.px - k.px, 2) + power(t.py - k.py, 2)) >= 10) AS hit FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1))
+SELECT user_id, ts_ns, {_r4('radians(lon - lon0) * prime * cos(radians(lat0))')} AS x, {_r4('radians(lat - lat0) * prime * (1 - 6.69437999014e-3) / (1 - 6.69437999014e-3 * s * s)')} AS y, 0.0::DOUBLE AS z, true AS weighs_z
+FROM (SELECT *, sin(radians(lat0)) AS s, 6378137.0 / sqrt(1 - 6.69437999014e-3 * power(sin(radians(lat0)), 2)) AS prime FROM k WHERE used)""")
 def q_gps_constraints(spark, sf):
     p = _path(spark, sf)
     f = p.select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, 48 + F.col("y") / 1000).alias("lat"), F.when(F.col("event_id") % 3 != 0, 11 + F.col("x") / 1000).alias("lon"), F.col("ts_ns").alias("fix_ts"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    return mapping.gps_constraints(f, "user_id", "event_id", 10.0)
+    g = mapping.gps_constraints(f, "user_id", "event_id", 10.0)
+    return g.withColumns({"x": r4(F.col("x")), "y": r4(F.col("y"))})
 
 
 @query()

@@ -112,7 +112,7 @@ def voxel_custom(df: DataFrame, size: float, bucket, schema: str, axes: tuple[st
 
 def voxel_shuffled(df: DataFrame, size: float, index: str, seed: int, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """The index of one pseudo-random point of each voxel, the same for one seed."""
-    return voxels(df, size, axes).groupBy(*CELL).agg(F.min_by(index, F.struct(F.xxhash64(F.lit(seed), index), index)).alias(index))
+    return voxels(df, size, axes).groupBy(*CELL).agg(F.min_by(index, F.struct(F.md5(F.concat_ws(":", F.lit(seed), index)), index)).alias(index))
 
 
 def voxel_normals(df: DataFrame, size: float) -> DataFrame:

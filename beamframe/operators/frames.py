@@ -230,7 +230,7 @@ def dense(df: DataFrame, keys: list[str], fields: list[str], height: int, width:
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         at = t.column("row").to_numpy() * width + t.column("col").to_numpy()
-        out = {k: [v.as_py()] for k, v in zip(keys, key, strict=True)}
+        out = {k: pa.array([v.as_py()], t.schema.field(k).type) for k, v in zip(keys, key, strict=True)}
         for f in fields:
             x = np.zeros(height * width)
             x[at] = t.column(f).to_numpy()

@@ -66,7 +66,7 @@ def field_images(frames: DataFrame, keys: list[str], field: str, height: int, wi
     def run(key: tuple, t: pa.Table) -> pa.Table:
         x = np.zeros((height, width), kind)
         x[t.column("row").to_numpy(), t.column("col").to_numpy()] = t.column(field).to_numpy()
-        return pa.table({k: [v.as_py()] for k, v in zip(keys, key, strict=True)} | {"image": pa.array([encode_png(x)], pa.binary())})
+        return pa.table({k: pa.array([v.as_py()], t.schema.field(k).type) for k, v in zip(keys, key, strict=True)} | {"image": pa.array([encode_png(x)], pa.binary())})
 
     return frames.select(*keys, "row", "col", F.coalesce(F.col(field).cast("long"), F.lit(0)).alias(field)).groupBy(*keys).applyInArrow(run, f"{kinds}, image binary")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,7 +145,7 @@ def batch_stream(packets: DataFrame, expected: int, largest: int = 65535) -> Dat
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key, tables, state):  # noqa: ANN001, ANN202
-        b = Batcher(expected, largest, state=pickle.loads(state.get[0]) if state.exists else None)  # the state's own bytes
+        b = Batcher(expected, largest, state=State(*pickle.loads(state.get[0])) if state.exists else None)  # the state's own bytes: plain values
         out = []
         if state.hasTimedOut:
             out = list(b.finish())
@@ -154,7 +154,7 @@ def batch_stream(packets: DataFrame, expected: int, largest: int = 65535) -> Dat
             for t in tables:
                 for r in t.sort_values("seq").itertuples(index=False):
                     out += b.put(r.init_id, r.frame_id, r.packet_no, r.host_ts)
-            state.update((pickle.dumps(b.s),))
+            state.update((pickle.dumps(tuple(getattr(b.s, f.name) for f in fields(b.s))),))
             state.setTimeoutDuration(60_000)
         yield pd.DataFrame([{"sensor_idx": key[0]} | x for x in out], columns=[c.split()[0] for c in _FRAME.split(", ")])
 

@@ -129,7 +129,9 @@ def collate_stream(frames: DataFrame, key: str, sensors: int, dt: int = DT, late
     minutes = int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def run(session, tables, state):  # noqa: ANN001, ANN202
-        c, n = pickle.loads(state.get[0]) if state.exists else (Collator(sensors, dt, latency), 0)  # the state's own bytes
+        c, n = Collator(sensors, dt, latency), 0
+        if state.exists:
+            c.slots, c.first_ts, c.first_idx, n = pickle.loads(state.get[0])  # the state's own bytes: plain values
         out = []
 
         def keep(sets: Iterator[dict[int, int]]) -> None:
@@ -144,7 +146,7 @@ def collate_stream(frames: DataFrame, key: str, sensors: int, dt: int = DT, late
         else:
             for r in pd.concat(list(tables)).sort_values(["ts", "sensor_idx"]).itertuples(index=False):
                 keep(c.put(r.sensor_idx, r.frame_id, r.ts))
-            state.update((pickle.dumps((c, n)),))
+            state.update((pickle.dumps((c.slots, c.first_ts, c.first_idx, n)),))
             state.setTimeoutDuration(minutes)
         yield pd.DataFrame(out, columns=names)
 
