@@ -18,7 +18,9 @@ size drops most others before the shuffle; it has no false negatives). Its slice
 are written to the shared folder; a slice asks about its windows in a fixed order
 and gets back one bit for each, so positions needn't travel.
 
-Hashes have 64 bits in stage 1 and 48 bits and the bucket's number in stage 2.
+Anchors are compared by 64 bits: a chance match only costs work. Windows are compared by
+80 bits of two hashes and the bucket's number, between slices, and by 64 within one: of
+10^13 windows asked about, some forty match another by chance; words aren't compared.
 
 Defined cases: null text has no words; null ids are carried through; rows that
 repeat an id are different places (identical rows repeat each other); a text of
@@ -39,13 +41,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import SPACED, Bits, Words, inside_documents, key_bits, materialize, slices, small_batches, window_hashes, words
+from beamframe.llm.common import SPACED, Bits, Words, inside_documents, key_bits, materialize, mix, slices, small_batches, window_hashes, words
 
 WINDOW = 35
 #: Perfect difference sets: every difference modulo the period occurs. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 #: Words of an anchor at least, where the window allows it: short anchors repeat by chance.
 LEAST_ANCHOR = 12
+#: What sets the second hash of a window apart, and the bytes of a window's key: 6 of the first hash, 4 of the second.
+SECOND, KEY = 0x9B1D5A3C0F4E7268, 10
 #: Bytes of text for each bucket of hashes.
 BUCKET_BYTES = 16 << 20
 
@@ -209,10 +213,13 @@ class Extended:
         marks = np.zeros(n + 1, np.int64)
         np.add.at(marks, first, 1)
         np.add.at(marks, at + 1, -1)
-        h = window_hashes(w.hashes(), window)
+        words_ = w.hashes()
+        h = window_hashes(words_, window)
         near = (np.cumsum(marks[:-1]) > 0)[: len(h)]
         self.at = np.flatnonzero(near & inside_documents(w.offsets, window, n)[: len(h)])
-        self.distinct, self.inverse, self.counts = np.unique(h[self.at], return_inverse=True, return_counts=True)
+        self.distinct, one, self.inverse, self.counts = np.unique(h[self.at], return_index=True, return_inverse=True, return_counts=True)
+        # a second hash of each distinct window, of other numbers for its words
+        self.second = (window_hashes(mix(words_ ^ np.uint64(SECOND)), window)[self.at[one]] >> np.uint64(32)).astype(np.uint32)
 
     def gone(self, elsewhere: np.ndarray, window: int) -> np.ndarray:
         """Words covered by windows that stand elsewhere, here or in another slice."""
@@ -229,9 +236,12 @@ def _ask(window: int, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, payload in zip(b.column("slice").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                h = Extended(payload, window).distinct
+                x = Extended(payload, window)
+                h = x.distinct
                 bucket = (h >> np.uint64(64 - up)).astype(np.int64)
-                low = ((h << np.uint64(up)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                low = np.zeros((len(h), KEY), np.uint8)
+                low[:, :6] = ((h << np.uint64(up)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                low[:, 6:] = x.second.astype("<u4").view(np.uint8).reshape(-1, 4)
                 ids, cuts = np.unique(bucket, return_index=True)
                 keys = [k.tobytes() for k in np.split(low, cuts[1:])] if len(ids) else []
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([s] * len(ids), pa.int64()), "bucket": pa.array(ids.astype(np.int32)), "keys": pa.array(keys, pa.binary())})
@@ -245,17 +255,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys: list[np.ndarray] = []
     for b in batches:
         for s, bucket, k in zip(*(b.column(x).to_pylist() for x in ("slice", "bucket", "keys")), strict=True):
-            wide = np.zeros((len(k) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+            own = np.frombuffer(k, np.uint8).reshape(-1, KEY)
+            wide = np.zeros((len(own), 16), np.uint8)
+            wide[:, :6], wide[:, 8:12] = own[:, :6], own[:, 6:]
             who.append((s, bucket))
-            keys.append(wide.view("<u8").ravel())
+            keys.append(wide.view("<u8"))
     if not who:
         return
     sizes = [len(k) for k in keys]
     flat = np.concatenate(keys)
     bucket = np.repeat(np.array([x for _, x in who]), sizes)
-    order = np.lexsort((flat, bucket))
-    same = (flat[order][1:] == flat[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
+    order = np.lexsort((flat[:, 1], flat[:, 0], bucket))
+    same = (flat[order][1:] == flat[order][:-1]).all(axis=1) & (bucket[order][1:] == bucket[order][:-1])
     twice = np.zeros(len(flat), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -286,7 +297,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("rid"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     buckets = _buckets(docs, text_col)
 
-    sent = keyed.select("rid", "text").mapInArrow(_anchors(window, buckets), _ANCHORS).repartition(buckets, "bucket")
+    sent = keyed.select("rid", "text").mapInArrow(_anchors(window, buckets), _ANCHORS).repartitionById(buckets, F.col("bucket"))
     repeated = sent.mapInArrow(_settle, "rid long, place int").groupBy("rid").agg(F.collect_list("place").alias("places"))
     repeated = materialize(repeated, "repeated-anchors")
     bits = key_bits(repeated, "rid")
@@ -295,7 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     untouched = keyed.mapInArrow(_untouched(bits, texts), shape)
     members = keyed.mapInArrow(_members(bits), keyed.schema)
     sliced = materialize(members.join(repeated, "rid", "left").select("rid", "doc_id", "text", "places").mapInArrow(_packed, _SLICE), "slices")
-    asked = sliced.mapInArrow(_ask(window, buckets), "slice long, bucket int, keys binary").repartition(buckets, "bucket")
+    asked = sliced.mapInArrow(_ask(window, buckets), "slice long, bucket int, keys binary").repartitionById(buckets, F.col("bucket"))
     answered = asked.mapInArrow(_answer, "slice long, bucket int, bits binary").groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     touched = sliced.join(answered, "slice", "left").select("payload", "answers").mapInArrow(_finish(window, buckets, texts), shape)
     return untouched.unionByName(touched)
