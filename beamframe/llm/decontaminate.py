@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import ALNUM_LOWER, Words, slices, small_batches, words
+from beamframe.llm.common import ALNUM_LOWER, Words, discard, materialize, slices, small_batches, words
 from beamframe.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -178,6 +178,11 @@ def decontaminate(
         last = k == blocks - 1
         shape = (_RESULT + ", text string" * cut if last else _STATE).format(id=kind) + rest
         state = state.mapInArrow(_pass(p, last, cut, carry), shape)
+        if not last:  # the next block meets it from a table, so a task never holds the phrases of two blocks
+            state = materialize(state, "decontaminate")
+            if k:
+                discard(held)
+            held = state
     return state
 
 
