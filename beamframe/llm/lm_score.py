@@ -50,7 +50,7 @@ from beamframe.llm.common import SPACED_LOWER, Bits, discard, hash_strings, key_
 
 MU = 200.0
 #: Bytes of text of a block, unless one text is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: What sets the keys of words and pairs apart, and the key of the start of a text.
 WORD, START = np.uint64(0x57), mix(np.array([0x5354415254], np.uint64))
 
