@@ -59,6 +59,8 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder for cut lineage; a local one only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
