@@ -21,6 +21,8 @@ from beamframe.operators.joins import loop_candidates
 
 # ---------------------------------------------------------------- local maps
 
+#: Pairs of a query and a point that one step compares.
+_PAIRS = 1 << 20
 _NEAR = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], np.int64)
 
 
@@ -75,12 +77,19 @@ class LocalMap:
         home = np.floor(queries / self.size).astype(np.int64)
         for step in _NEAR:
             key = cell_keys(home + step)
-            a, z = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
-            while (on := np.flatnonzero(a < z)).size:
-                d = ((self.points[a[on]] - queries[on]) ** 2).sum(axis=1)
-                better = d < d2[on]
-                best[on[better]], d2[on[better]] = a[on[better]], d[better]
-                a[on] += 1
+            first, n = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+            n = n - first
+            on = np.flatnonzero(n)
+            for part in np.split(on, np.flatnonzero(np.diff(np.cumsum(n[on]) // _PAIRS)) + 1) if len(on) else []:
+                start = np.cumsum(n[part]) - n[part]
+                of = np.repeat(np.arange(len(part)), n[part])
+                at = np.arange(len(of)) - start[of] + first[part][of]
+                d = ((self.points[at] - queries[part][of]) ** 2).sum(axis=1)
+                least = np.minimum.reduceat(d, start)
+                where = np.flatnonzero(d == least[of])
+                nearest = at[where[np.searchsorted(of[where], np.arange(len(part)))]]
+                better = least < d2[part]
+                best[part[better]], d2[part[better]] = nearest[better], least[better]
         return best, d2
 
 
@@ -571,15 +580,20 @@ def cloud_normals(local: LocalMap, reach: float) -> np.ndarray:
     total, second, n = np.zeros_like(local.points), np.zeros((len(local.points), 3, 3)), np.zeros(len(local.points))
     for step in _NEAR:
         key = cell_keys(home + step)
-        a, z = np.searchsorted(local.keys, key), np.searchsorted(local.keys, key, side="right")
-        while (on := np.flatnonzero(a < z)).size:
-            d = local.points[a[on]] - local.points[on]
+        first, count = np.searchsorted(local.keys, key), np.searchsorted(local.keys, key, side="right")
+        count = count - first
+        on = np.flatnonzero(count)
+        for part in np.split(on, np.flatnonzero(np.diff(np.cumsum(count[on]) // _PAIRS)) + 1) if len(on) else []:
+            of = np.repeat(part, count[part])
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count[part]) - count[part], count[part]) + first[of]
+            d = local.points[at] - local.points[of]
             near = (d * d).sum(axis=1) < reach * reach
-            k, d = on[near], d[near]
-            total[k] += d
-            second[k] += d[:, :, None] * d[:, None, :]
-            n[k] += 1
-            a[on] += 1
+            k, d = of[near], d[near]
+            n += np.bincount(k, minlength=len(n))
+            for i in range(3):
+                total[:, i] += np.bincount(k, d[:, i], len(n))
+                for j in range(3):
+                    second[:, i, j] += np.bincount(k, d[:, i] * d[:, j], len(n))
     ok = n >= 5
     mean = total[ok] / n[ok, None]
     out[ok] = np.linalg.eigh(second[ok] / n[ok, None, None] - mean[:, :, None] * mean[:, None, :])[1][:, :, 0]
@@ -597,19 +611,27 @@ def align_pair(source: np.ndarray, target: np.ndarray, cell: float = 0.5, reach:
     normals = cloud_normals(local, 1.5 * cell)
     thin = source[one_per_cell(source, cell / 2)]
     wide = {}
-    for r in (4 * cell, 2 * cell, cell):
-        order = np.argsort(cell_keys(np.floor(local.points / r)), kind="stable")
-        wide[r] = (LocalMap(r, np.inf), normals[order])
-        wide[r][0].points = local.points
-        wide[r][0]._index()
-    best, sure = np.eye(4), -1.0
-    for pose in yaw_and_shift(source, target, cell):
-        for r, (held, n) in wide.items():
-            pose = register(thin @ pose[:3, :3].T + pose[:3, 3], held, r, reach, rounds=30, normals=n) @ pose
-        near, _ = local.nearest(thin @ pose[:3, :3].T + pose[:3, 3], reach / 4)
-        if (share := float((near >= 0).mean())) > sure:
-            best, sure = pose, share
-    return best, max(sure, 0.0)
+    for r in (4 * cell, 2 * cell, cell):  # the farther it looks, the thinner the cloud
+        some = one_per_cell(local.points, r / 3)
+        held = LocalMap(r, np.inf)
+        order = some[np.argsort(cell_keys(np.floor(local.points[some] / r)), kind="stable")]
+        held.points = local.points[some]
+        held._index()
+        wide[r] = held, normals[order]
+    def refined(pose: np.ndarray, r: float, rounds: int) -> np.ndarray:
+        held, n = wide[r]
+        some = thin[one_per_cell(thin, r / 2)]
+        return register(some @ pose[:3, :3].T + pose[:3, 3], held, r, reach, rounds=rounds, normals=n) @ pose
+
+    def share(pose: np.ndarray, most: float) -> float:
+        near, _ = local.nearest(thin @ pose[:3, :3].T + pose[:3, 3], most)
+        return float((near >= 0).mean())
+
+    rough = [refined(p, 4 * cell, 15) for p in yaw_and_shift(source, target, cell)]
+    pose = max(rough, key=lambda p: share(p, reach / 2))
+    for r in (2 * cell, cell):
+        pose = refined(pose, r, 20)
+    return pose, share(pose, reach / 4)
 
 
 def align_clouds(clouds: DataFrame, key: str, reference: object, cell: float = 0.5) -> DataFrame:
