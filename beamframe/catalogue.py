@@ -560,4 +560,4 @@ def q_icp(spark, sf):
 
 
 # the other parts of the catalogue register themselves
-from beamframe import catalogue_sensors, catalogue_tracks  # noqa: E402, F401
+from beamframe import catalogue_more, catalogue_sensors, catalogue_tracks  # noqa: E402, F401

@@ -113,3 +113,15 @@ def half_to_float(bits: Column) -> Column:
     exp, frac = F.shiftright(bits.bitwiseAND(0x7C00), 10), bits.bitwiseAND(0x3FF)
     value = F.when(exp == 0, frac * F.lit(2.0**-24)).when((exp == 31) & (frac != 0), F.lit(0.0)).when(exp == 31, F.lit(math.inf)).otherwise((1 + frac / 1024.0) * F.pow(F.lit(2.0), exp - 15))
     return F.when((exp == 31) & (frac != 0), F.lit(0.0)).otherwise(sign * value)
+
+
+def dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def norm(a: list[Column]) -> Column:
+    return F.sqrt(dot(a, a))

@@ -182,6 +182,13 @@ def linear_system(pairs: DataFrame, kernel: float, plane: bool = False) -> DataF
     return pairs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in (jj | jr).items()])
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of a field by name, linear between values, and ``spread``: the median distance from the median."""
+    wanted = df.groupBy(*keys).agg(*[F.percentile(value, s).alias(n) for n, s in shares.items()], F.percentile(value, 0.5).alias("_median"))
+    off = df.join(wanted.select(*keys, "_median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_median")), 0.5).alias("spread"))
+    return wanted.drop("_median").join(off, keys)
+
+
 def digest(df: DataFrame, keys: list[str], value: Column, order: list[str]) -> DataFrame:
     """MD5 and SHA-256 of a field's values of each frame in order; a frame is one record, so its list is bounded."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda s: s["v"]), "|")

@@ -81,3 +81,14 @@ def predicted_position(df: DataFrame, key: str, order: str, axes: list[str]) ->
     t1, t2 = F.lag(order, 1).over(w), F.lag(order, 2).over(w)
     share = (F.col(order) - t1) / (t1 - t2)
     return df.withColumns({f"p_{a}": F.lag(a, 1).over(w) + (F.lag(a, 1).over(w) - F.lag(a, 2).over(w)) * share for a in axes})
+
+
+def neighbours(df: DataFrame, value: str, width: int, keys: list[str] = ("frame_id",)) -> DataFrame:
+    """``up``, ``down``, ``left``, ``right``: a field at the pixels around, round the frame to the sides; null where there is none."""
+    keys = list(keys)
+    out = df
+    for name, row, col in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1)):
+        # a pixel is the neighbour of the one that lies the other way
+        there = df.select(*keys, (F.col("row") - row).cast("int").alias("row"), F.pmod(F.col("col") - col, F.lit(width)).cast("int").alias("col"), F.col(value).alias(name))
+        out = out.join(there, [*keys, "row", "col"], "left")
+    return out
