@@ -16,7 +16,8 @@ from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string"
+CLASH = {"node": "long", "key": "string", "rid": "long", "doc": "long", "block": "string", "bucket": "int", "kind": "int", "slice": "long", "spans": "string", "items": "string", "places": "string", "bands": "string", "hash": "string", "good": "boolean", "score": "double", "first": "long", "word": "string"}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} {v}" for k, v in CLASH.items())
 LONG = " ".join(f"w{i}" for i in range(40))
 AWKWARD = [
     (1, None), (2, ""), (3, " \t\n\x0b"), (4, "one"), (5, LONG), (6, LONG), (6, LONG), (7, LONG.replace("w20", "zz")), (None, LONG), (8, "x" * 300_000),
@@ -27,7 +28,8 @@ AWKWARD = [
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and extra columns named as the operators' own."""
-    return spark.createDataFrame([(i, t, None, None, None, 1, "k") for i, t in AWKWARD], SCHEMA)
+    own = {"string": "k", "long": 1, "int": 1, "boolean": False, "double": 0.5}
+    return spark.createDataFrame([(i, t, None, None, None, *[own[v] for v in CLASH.values()]) for i, t in AWKWARD], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +71,123 @@ def test_empty_table(spark, empty, name):
     assert OPERATORS[name](spark, empty).count() == 0
 
 
+def test_packed_rows_of_awkward_documents(spark, awkward, empty):
+    assert packed_output.packed_rows(empty, PATH).count() == 0
+    slow = Tokenizer.from_file(PATH)
+    want = sorted((-1 if i is None else i, len(slow.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in AWKWARD)
+    size: dict = {}
+    pieces = [(d, s, z - a) for r in packed_output.packed_rows(awkward, PATH).collect() for d, s, a, z in zip(r["doc_ids"], r["starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True)]
+    for d, _, n in pieces:
+        size[-1 if d is None else d] = size.get(-1 if d is None else d, 0) + n
+    total: dict = {}
+    for d, n in want:
+        total[d] = total.get(d, 0) + n
+    assert size == total
+
+
+def test_one_text_longer_than_a_slice(spark):
+    """A text of 7 MB beside its near copy and a part of it."""
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(1 << 30)}" for _ in range(700_000)]
+    near = long[:]
+    near[5] = "other"
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[1000:1100])), (4, "own words")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert gone == {1: (700_000, 699_994), 2: (700_000, 699_994), 3: (100, 100), 4: (2, 0)}
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()} == {1: [], 2: [0], 3: [], 4: []}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm_score.lm_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()} == {1: 700_000, 2: 700_000, 3: 100, 4: 2}
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "FEW": 300}, {"BLOCK": 16, "FEW": 200, "SPREAD": 3, "MANY": 500}])
+def test_families_of_near_copies_against_brute_force(spark, monkeypatch, limits):
+    """Families whose members lie at similarities about 0.75 of each other, more than a block of them."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(9)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for _ in range(30):
+            own = base[:]
+            for at in rng.sample(range(120), rng.randrange(1, 6)):
+                own[at] = f"x{rng.randrange(1 << 30)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            close += 0.72 < both / either < 0.78
+            if 100 * both >= 75 * either:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert close > 100 and got == {i: find(i) for i in range(len(rows))}
+
+
+def test_components_of_random_graphs(spark):
+    from beamframe.llm.components import components, labels
+
+    rng = np.random.default_rng(4)
+    for n, m in ((50, 30), (400, 390), (1000, 3000)):
+        a, b = rng.integers(0, n, (2, m))
+        root = labels(a, b, n)
+        assert (root[a] == root[b]).all() and (root <= np.arange(n)).all() and (root[root] == root).all()
+        got = components(spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long").repartition(7)).collect()
+        assert {r["node"]: r["root"] for r in got} == {int(x): int(root[x]) for x, y in zip([*a, *b], [*b, *a], strict=True) if x != y}
+    chain = spark.range(500).selectExpr("id a", "id + 1 b").repartition(16)
+    assert {r["root"] for r in components(chain).collect()} == {0}
+
+
+def test_windows_of_one_hash_are_told_apart_by_the_other():
+    keys = [b"\x01\0\0\0\0\0" + x for x in (b"aaaa", b"bbbb", b"aaaa")]
+    rows = pa.RecordBatch.from_pydict({"slice": pa.array([1, 2, 3], pa.int64()), "bucket": pa.array([0, 0, 0], pa.int32()), "keys": pa.array(keys, pa.binary())})
+    out = next(substring_dedup._answer(iter([rows])))
+    assert [b[0] >> 7 for b in out.column("bits").to_pylist()] == [1, 0, 1]
+
+
+def test_packing_wastes_little(spark):
+    p = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), PATH).toPandas()
+    tokens, sequences = int(p.length.sum()), p.sequence_id.nunique()
+    assert sequences <= 1.02 * tokens / 1024 + 2
+
+
+def test_toxicity_query_is_the_field_s_score(spark):
+    """Scores of the query are those of the fitted model applied text by text."""
+    from beamframe.llm.common import ALNUM_LOWER, words
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(sorted(toxicity.training_sample(docs, labels)))
+    got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:60]:
+        w = words(pa.array([r["text"]]), ALNUM_LOWER)
+        m, evidence = model.evidence(w)
+        assert got[r["doc_id"]]["score"] == pytest.approx(float(model.score(evidence)[0]) if len(m) else 0.0)
+        assert got[r["doc_id"]]["n_toxic_words"] == int((m >= 0.5).sum()) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_stages_of_awkward_documents(spark, awkward, empty):
+    """Every stage takes nulls, copies and empty tables, and keeps the documents' columns."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, SF)
+        left = out.collect()
+        assert out.columns == corpus_pipeline.COLUMNS and stage(spark, empty, SF).count() == 0, name
+        texts = [r["text"] for r in left]
+        assert LONG in texts and "one" in texts, name
+    assert corpus_pipeline.STAGES[-1][1](spark, awkward, SF).count() >= len(AWKWARD) and corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_empty_benchmark_hits_nothing(spark, awkward):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.decontaminate(awkward, none).where("contaminated").count() == 0
