@@ -518,11 +518,27 @@ def q_collate(spark, sf):
 # ------------------------------------------------------------- kernels on whole frames
 
 
-@query()
+def _three(f: str) -> str:
+    return ", ".join(f.format(a=a) for a in "xyz")
+
+
+@query(f"""WITH g AS (SELECT l_suppkey % 8 AS frame_id, "row", col, range_mm * 0.001 AS m, row_number() OVER (PARTITION BY l_suppkey % 8, "row", col ORDER BY {L}) AS i FROM {POINTS}),
+d AS (SELECT *, {DIRECTION} FROM g WHERE i = 1),
+p AS (SELECT frame_id, "row", col, {_three("m * d{a} AS {a}")} FROM d),
+n AS (SELECT p.*, sqrt(p.x * p.x + p.y * p.y + p.z * p.z) AS far, {", ".join(f"{k}.{a} - p.{a} AS {k}{a}" for k in ("u", "w", "r", "l") for a in "xyz")} FROM p
+    LEFT JOIN p u ON u.frame_id = p.frame_id AND u.col = p.col AND u."row" = p."row" + 1 AND (u.x <> 0 OR u.y <> 0 OR u.z <> 0) LEFT JOIN p w ON w.frame_id = p.frame_id AND w.col = p.col AND w."row" = p."row" - 1 AND (w.x <> 0 OR w.y <> 0 OR w.z <> 0)
+    LEFT JOIN p r ON r.frame_id = p.frame_id AND r."row" = p."row" AND r.col = (p.col + 1) % 512 AND (r.x <> 0 OR r.y <> 0 OR r.z <> 0) LEFT JOIN p l ON l.frame_id = p.frame_id AND l."row" = p."row" AND l.col = (p.col + 511) % 512 AND (l.x <> 0 OR l.y <> 0 OR l.z <> 0)),
+k AS (SELECT *, {", ".join(f"coalesce(sqrt({k}x * {k}x + {k}y * {k}y + {k}z * {k}z), 1e300) AS d{k}" for k in ("u", "w", "r", "l"))} FROM n WHERE far > 0),
+v AS (SELECT *, {_three("-{a} / far AS q{a}")}, least(du, dw) <= 10 AS has_v, least(dr, dl) <= 10 AS has_h, {_three("CASE WHEN du <= dw THEN u{a} ELSE -w{a} END AS v{a}")}, {_three("CASE WHEN dr <= dl THEN r{a} ELSE -l{a} END AS h{a}")} FROM k),
+o AS (SELECT *, {_three("CASE WHEN has_v THEN v{a} ELSE h{a} END AS o{a}")}, hy * vz - hz * vy AS cx, hz * vx - hx * vz AS cy, hx * vy - hy * vx AS cz FROM v),
+f AS (SELECT *, (qx * ox + qy * oy + qz * oz) / (ox * ox + oy * oy + oz * oz) AS s, CASE WHEN cx * qx + cy * qy + cz * qz < 0 THEN -1 ELSE 1 END AS way FROM o),
+e AS (SELECT frame_id, "row", col, {_three("CASE WHEN has_v AND has_h THEN way * c{a} WHEN has_v OR has_h THEN q{a} - s * o{a} ELSE q{a} END AS e{a}")} FROM f)
+SELECT frame_id, "row", col, {_three("floor(e{a} / sqrt(ex * ex + ey * ey + ez * ez) * 1e4 + 0.5) / 1e4 AS n{a}")} FROM e""")
 def q_normals(spark, sf):
     p = projection.cartesian(_directed(spark, sf)).withColumn("frame_id", F.col("l_suppkey") % 8)
     one = p.groupBy("frame_id", "row", "col").agg(F.min_by(F.struct("x", "y", "z"), F.struct(*LINE_ORDER)).alias("p")).select("frame_id", "row", "col", "p.*")
-    return images.normals(one, 32, 512)
+    n = images.normals(one, 32, 512, reach=10.0).where("nx <> 0 or ny <> 0 or nz <> 0")
+    return n.select("frame_id", "row", "col", *[(F.floor(F.col(a) * 1e4 + 0.5) / 1e4).alias(a) for a in ("nx", "ny", "nz")])
 
 
 @query()
@@ -531,10 +547,19 @@ def q_ground(spark, sf):
     return images.ground(p, cell=2.0)
 
 
-@query()
+@query(f"""WITH g AS (SELECT l_suppkey % 4 AS frame_id, "row", col % 64 AS col, max(l_extendedprice) AS v FROM {POINTS} GROUP BY 1, 2, 3),
+px AS (SELECT f.frame_id, r AS "row", c AS col, coalesce(v, 0) AS v, g.v IS NOT NULL AS seen FROM (SELECT DISTINCT frame_id FROM g) f CROSS JOIN range(32) a(r) CROSS JOIN range(64) b(c) LEFT JOIN g ON g.frame_id = f.frame_id AND g."row" = r AND g.col = c),
+lim AS (SELECT frame_id, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.995) AS b FROM px WHERE ("row" * 64 + col) % 4 = 0 AND v > 0 GROUP BY 1),
+e AS (SELECT px.*, least(255, greatest(0, floor(least(1.0, greatest(0.0, (v - a) / greatest(b - a, 1e-12))) * 256))) AS level FROM px JOIN lim USING (frame_id)),
+h AS (SELECT frame_id, "row" // 4 AS i, col // 8 AS j, level AS k, count(*) AS n FROM e GROUP BY 1, 2, 3, 4),
+o AS (SELECT frame_id, i, j, sum(greatest(n - 1, 0)) AS over FROM h GROUP BY 1, 2, 3),
+p AS (SELECT *, least(7, greatest(0, ("row" - 1.5) / 4)) AS y, least(7, greatest(0, (col - 3.5) / 8)) AS x FROM e WHERE seen),
+w AS (SELECT frame_id, "row", col, level, floor(y) + dy AS i, floor(x) + dx AS j, (CASE dy WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE dx WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS share FROM p CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx)),
+m AS (SELECT w.frame_id, w."row", w.col, w.share, ((w.level + 1) * any_value(o.over) / 256 + coalesce(sum(least(h.n, 1)) FILTER (h.k <= w.level), 0)) / 32 AS v FROM w JOIN o ON o.frame_id = w.frame_id AND o.i = w.i AND o.j = w.j JOIN h ON h.frame_id = w.frame_id AND h.i = w.i AND h.j = w.j GROUP BY w.frame_id, w."row", w.col, w.share, w.level, w.i, w.j)
+SELECT frame_id, "row", CAST(col AS INTEGER) AS col, floor(sum(share * v) * 1e4 + 0.5) / 1e4 AS shown FROM m WHERE share > 0 GROUP BY 1, 2, 3""")
 def q_clahe(spark, sf):
     g = points(spark, sf).groupBy((F.col("l_suppkey") % 4).alias("frame_id"), "row", (F.col("col") % 64).alias("col")).agg(F.max("l_extendedprice").alias("v"))
-    return images.equalised(g, "v", 32, 64)
+    return images.equalised(g, "v", 32, 64).withColumn("shown", F.floor(F.col("shown") * 1e4 + 0.5) / 1e4).withColumn("row", F.col("row").cast("long"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT CAST(c_custkey % 16 AS INTEGER) AS f, c_acctbal / 10 AS x, CAST(c_nationkey AS DOUBLE) AS y, floor(c_acctbal / 10 / 0.8::DOUBLE) AS cx, floor(c_nationkey / 0.8::DOUBLE) AS cy FROM customer),
