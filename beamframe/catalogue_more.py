@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import rigid, scalar
 from beamframe.operators import aggregates as agg
-from beamframe.operators import joins, projection, selection, trajectory, windows
+from beamframe.operators import images, joins, projection, selection, trajectory, windows
 from beamframe.plans.registry import query
 from beamframe.plans.standins import CLOUD, POINTS, TRACK, cloud, points, table, track
-from beamframe.sources import captures
+from beamframe.sources import captures, clouds, scratch, store
 
 
 def _r4(x: str) -> str:
@@ -220,3 +220,79 @@ def q_reassembled(spark, sf):
     second = e.where("event_id % 7 <> 3").select(*way, F.lit(False).alias("more"), F.lit(16).alias("frag_offset"), eight(F.col("user_id")).alias("payload"))
     whole = captures.reassembled(second.unionByName(first))
     return whole.select(F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("event_id"), F.lower(F.hex("payload")).alias("payload"))
+
+
+@query("""WITH l AS (SELECT DISTINCT user_id, CAST(7500 + event_id % 3 AS INTEGER) AS port FROM events WHERE event_type = 'click'), i AS (SELECT DISTINCT user_id, CAST(7600 + event_id % 2 AS INTEGER) AS port FROM events WHERE event_type = 'view')
+SELECT coalesce(l.user_id, i.user_id) AS user_id, coalesce(l.port, 0) AS lidar_port, coalesce(i.port, 0) AS imu_port FROM l FULL JOIN i ON l.user_id = i.user_id WHERE l.port IS NULL OR l.port = 7501""")
+def q_guessed_ports(spark, sf):
+    e = table(spark, sf, "events")
+    lidar = e.where("event_type = 'click'").select("user_id", (7500 + F.col("event_id") % 3).cast("int").alias("port"))
+    imu = e.where("event_type = 'view'").select("user_id", (7600 + F.col("event_id") % 2).cast("int").alias("port"))
+    return joins.guessed_ports(lidar, imu, "user_id", lidar_port=7501).fillna(0)
+
+
+FILM = f'(SELECT l_suppkey % 2 AS sensor, l_orderkey % 8 AS frame, "row", CAST(col % 64 AS INTEGER) AS col, CAST(max(range_mm) AS DOUBLE) AS v FROM {POINTS} GROUP BY 1, 2, 3, 4)'
+
+
+@query(f"""WITH RECURSIVE g AS {FILM},
+q AS (SELECT sensor, frame, quantile_cont(v, 0.1) AS a, quantile_cont(v, 0.995) AS b FROM g WHERE ("row" * 64 + col) % 4 = 0 AND v > 0 GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY frame) AS i FROM q),
+s AS (SELECT sensor, frame, a, b, i FROM n WHERE i = 1 UNION ALL SELECT n.sensor, n.frame, 0.9 * s.a + (1 - 0.9::DOUBLE) * n.a, 0.9 * s.b + (1 - 0.9::DOUBLE) * n.b, n.i FROM s JOIN n ON n.sensor = s.sensor AND n.i = s.i + 1)
+SELECT sensor, frame, "row", col, {_r4('least(1.0, greatest(0.0, (v - a) / greatest(b - a, 1e-12)))')} AS shown FROM g JOIN s USING (sensor, frame)""")
+def q_exposure(spark, sf):
+    """Exposure bounds that follow a sensor's frames."""
+    p = points(spark, sf).groupBy((F.col("l_suppkey") % 2).alias("sensor"), (F.col("l_orderkey") % 8).alias("frame"), "row", (F.col("col") % 64).cast("int").alias("col")).agg(F.max("range_mm").cast("double").alias("v"))
+    return images.exposed(p, "sensor", "frame", "v", 32, 64).withColumn("shown", r4(F.col("shown")))
+
+
+# ------------------------------------------------------------- what is written and read again
+
+
+@query("SELECT CAST(user_id % 4 AS INTEGER) AS sensor_idx, epoch_us(ts) * 1000 AS ts_ns, value FROM events WHERE user_id % 4 IN (1, 3) AND epoch_us(ts) BETWEEN 1704500000000000 AND 1705500000000000")
+def q_frame_store(spark, sf):
+    """Messages of two sensors in a time span, from the store."""
+    e = track(spark, sf).select((F.col("user_id") % 4).cast("int").alias("sensor_idx"), F.floor(F.col("ts_us") / 21_600_000_000).alias("frame_id"), (F.col("ts_us") * 1000).alias("ts_ns"), "value", "event_type")
+    clouds.write_frames(e, path := scratch.folder(spark, "store"))
+    return clouds.messages(spark, path, [1, 3], 1_704_500_000_000_000_000, 1_705_500_000_000_000_000, ["value"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
+def q_points_csv(spark, sf):
+    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    clouds.write_points(p, path := scratch.folder(spark, "points"), per_file=10_000)
+    return spark.read.schema(p.schema).csv(path, header=True)
+
+
+@query(f"SELECT event_id AS timestamp, milli / 1000 AS x, 1.0::DOUBLE AS qw FROM {TRACK}")
+def q_trajectory_file(spark, sf):
+    zero = F.lit(0.0)
+    t = track(spark, sf).select(F.col("event_id").alias("timestamp"), (F.col("milli") / 1000).alias("x"), zero.alias("y"), zero.alias("z"), zero.alias("qx"), zero.alias("qy"), zero.alias("qz"), F.lit(1.0).alias("qw"))
+    clouds.write_trajectory(t, path := scratch.folder(spark, "track"), tum=True)
+    return spark.read.schema(t.schema).csv(path, sep=" ").select("timestamp", "x", "qw")
+
+
+@query(f"SELECT milli / 1000 AS x, CAST(event_id AS DOUBLE) AS z, 1.0::DOUBLE AS w FROM {TRACK}")
+def q_kitti_file(spark, sf):
+    """Poses of 12 numbers a line."""
+    path = scratch.folder(spark, "poses")
+    track(spark, sf).select(F.format_string("1 0 0 %s 0 1 0 0 0 0 1 %s", (F.col("milli") / 1000).cast("string"), F.col("event_id"))).write.text(path)
+    p = clouds.read_kitti(spark, path)
+    return p.select(F.col("pose")[3].alias("x"), F.col("pose")[11].alias("z"), F.col("pose")[15].alias("w"))
+
+
+@query(f"SELECT CAST(floor(x + 0.123) AS BIGINT) AS x, count(*) AS n FROM (SELECT avg(x) AS x FROM {CLOUD} GROUP BY floor(x * 0.2), floor(y * 0.2), floor(z * 0.2)) GROUP BY 1")
+def q_model_file(spark, sf):
+    """A thinned cloud as text, and its points by metre."""
+    store.save_model(cloud(spark, sf), 5.0, 1000, path := scratch.folder(spark, "model"))
+    x = F.split("value", " ")[0].cast("double")
+    return spark.read.text(path).groupBy(F.floor(x + 0.123).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(user_id % 4 AS INTEGER) AS sensor_idx, count(*) AS columns FROM events GROUP BY 1")
+def q_capture_sink(spark, sf):
+    """Packets through captures and back, counted by sensor."""
+    spark.dataSource.register(store.Captures)
+    p = track(spark, sf).select((F.col("ts_us") * 1000).alias("ts_ns"), F.lit("10.0.0.1").alias("src"), F.concat(F.lit("10.0.1."), F.col("user_id") % 4).alias("dst"), F.lit(7000).alias("src_port"), F.lit(7502).alias("dst_port"), F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("payload"))
+    p.repartition(4).write.format("capture").mode("append").save(path := scratch.folder(spark, "captures"))
+    back = captures.read_packets(spark, path).withColumn("id", F.conv(F.hex("payload"), 16, 10))
+    return back.groupBy(F.substring_index("dst", ".", -1).cast("int").alias("sensor_idx")).agg(F.countDistinct("id").alias("columns"))

@@ -87,6 +87,15 @@ def stream_ports(lidar: DataFrame, imu: DataFrame, key: str) -> DataFrame:
     return lidar.join(imu, key, "full")
 
 
+def guessed_ports(lidar: DataFrame, imu: DataFrame, key: str, lidar_port: int = 0, imu_port: int = 0) -> DataFrame:
+    """(key, lidar_port, imu_port) that a source's streams may use: every pairing of its lidar and imu streams, one of them null where it has none; ports that the metadata names (not 0) must be met where a stream is there."""
+    both = stream_ports(lidar.select(key, F.col("port").alias("lidar_port")).distinct(), imu.select(key, F.col("port").alias("imu_port")).distinct(), key)
+    for name, port in (("lidar_port", lidar_port), ("imu_port", imu_port)):
+        if port:
+            both = both.where(F.col(name).isNull() | (F.col(name) == port))
+    return both
+
+
 def unmatched(packets: DataFrame, sensors: DataFrame, key: str) -> DataFrame:
     return packets.join(sensors.select(key).distinct(), key, "left_anti")
 
