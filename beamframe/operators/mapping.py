@@ -650,3 +650,14 @@ def align_clouds(clouds: DataFrame, key: str, reference: object, cell: float = 0
         return pd.DataFrame([(t[key].iloc[0], pose.ravel().tolist(), sure)], columns=[key, "pose", "confidence"])
 
     return thin.where(F.col(key) != reference).groupBy(key).applyInPandas(run, f"{key} {kind}, pose array<double>, confidence double")
+
+
+def rig_extrinsics(clouds: DataFrame, key: str, reference: object, cell: float = 0.5, least: float = 0.0) -> str:
+    """The extrinsics document of a rig: each sensor's pose in the reference's frame, by alignment of their clouds; an error names sensors that align worse than ``least``."""
+    from beamframe.sources.metadata import write_extrinsics
+
+    found = align_clouds(clouds, key, reference, cell).collect()  # one row a sensor
+    weak = sorted(str(r[key]) for r in found if r["confidence"] < least)
+    if weak:
+        raise ValueError(f"no alignment of {', '.join(weak)}")
+    return write_extrinsics([(str(reference), np.eye(4).ravel().tolist()), *[(str(r[key]), r["pose"]) for r in found]], str(reference))

@@ -145,6 +145,18 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return single.unionByName(reassembled(raw.where("frag_offset > 0 or more")))
 
 
+def capture_frames(spark: SparkSession, path: str, sensors: DataFrame, formats: dict, soft: bool = False) -> tuple[dict[int, DataFrame], DataFrame]:
+    """(columns of each sensor's frames, counts of packets left out and why) of captures: packets go to the sensors of their ports, lidar packets become the columns of frames.
+
+    ``sensors``: sensor_idx, port, init_id, sn; ``formats``: the packet format of each sensor.
+    """
+    from beamframe.operators import packets as streams
+
+    p = streams.matched(read_packets(spark, path).withColumnRenamed("ts_ns", "host_ts"), sensors, formats, soft)
+    known = {i: streams.frame_columns(p.where((F.col("sensor_idx") == i) & (F.col("kind") == "lidar")), fmt) for i, fmt in formats.items()}
+    return known, streams.problems(p)
+
+
 def packet_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 8) -> DataFrame:
     """Packets as they arrive as files in a folder: the stand-in for live sensors. ``per_trigger`` files a batch bound what is in flight."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)

@@ -220,6 +220,20 @@ def test_captures_in_blocks_and_as_a_sink(spark, tmp_path):
     assert sorted((r["ts_ns"], bytes(r["payload"])) for r in again.collect()) == [(t, p) for t, *_, p in sent]
 
 
+def test_frames_of_a_capture(spark, tmp_path):
+    fmt = FORMATS[1]
+    c = columns_table(spark, fmt)
+    sent = sorted(pk.encode_columns(c, fmt, ["sensor_idx"]).collect(), key=lambda r: r["first_ts"])
+    body = [(10**18 + k, "10.0.0.1", "10.0.0.2", 7000, 7502, bytes(r["payload"])) for k, r in enumerate(sent)]
+    body += [(10**18 + 99, "10.0.0.1", "10.0.0.2", 7000, 7502, b"wrong"), (10**18 + 100, "10.0.0.1", "10.0.0.2", 7000, 9999, b"other")]
+    (tmp_path / "c.pcap").write_bytes(captures.write(body))
+    sensors = spark.createDataFrame([(0, 7502, 7, 99)], "sensor_idx int, port int, init_id long, sn long")
+    frames_, left_out = captures.capture_frames(spark, str(tmp_path / "c.pcap"), sensors, {0: fmt})
+    names = ["frame_id", "col", "ts_ns", *fmt.pixel[1]]
+    assert sorted(map(str, frames_[0].select(names).collect())) == sorted(map(str, c.select(names).collect()))
+    assert {r["problem"]: r["n"] for r in left_out.collect()} == {"PACKET_SIZE": 1, "UNMATCHED": 1}
+
+
 def test_coloured_clouds(spark, tmp_path):
     p = rng.normal(size=(50, 3)) * 10
     rgb = rng.integers(0, 256, (50, 3))

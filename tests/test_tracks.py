@@ -141,6 +141,18 @@ def test_align_without_a_guess():
         assert np.allclose(got[:3, 3], pose[:3, 3], atol=0.15) and np.allclose(got[:3, :3], pose[:3, :3], atol=0.03) and sure > 0.5
 
 
+def test_rig_extrinsics(spark):
+    from beamframe.sources import metadata
+
+    world = room(4000)
+    pose = rigid.pose_exp(np.array([0, 0, 0.5, 0, 0, 0]))
+    pose[:2, 3] = 1.0, -0.5
+    rows = [(7, *map(float, x)) for x in world] + [(9, *map(float, x)) for x in (room(4000) - pose[:3, 3]) @ pose[:3, :3]]
+    document = mapping.rig_extrinsics(spark.createDataFrame(rows, "sn int, x double, y double, z double"), "sn", 7)
+    got = dict(metadata.parse_extrinsics(document))
+    assert np.allclose(np.array(got["9"]).reshape(4, 4), pose, atol=0.15) and np.allclose(got["7"], np.eye(4).ravel())
+
+
 def test_imu_motion(spark):
     """A body that turns at a steady rate and falls freely, and one at rest."""
     rows = []
