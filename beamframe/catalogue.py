@@ -541,10 +541,14 @@ def q_normals(spark, sf):
     return n.select("frame_id", "row", "col", *[(F.floor(F.col(a) * 1e4 + 0.5) / 1e4).alias(a) for a in ("nx", "ny", "nz")])
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT l_suppkey % 8 AS frame_id, l_orderkey AS point_id, l_linenumber, z, floor(x / 5) AS i, floor(y / 5) AS j FROM {CLOUD}),
+c AS (SELECT frame_id, i, j, z FROM (SELECT frame_id, i, j, z, row_number() OVER (PARTITION BY frame_id, i, j ORDER BY z) - 1 AS k, count(*) OVER (PARTITION BY frame_id, i, j) AS n FROM p) WHERE k = floor(0.15::DOUBLE * (n - 1))),
+r(frame_id, i, j) AS (SELECT frame_id, arg_min(i, [z, i, j]), arg_min(j, [z, i, j]) FROM c GROUP BY 1
+    UNION SELECT b.frame_id, b.i, b.j FROM r JOIN c a ON a.frame_id = r.frame_id AND a.i = r.i AND a.j = r.j JOIN c b ON b.frame_id = a.frame_id AND abs(b.i - a.i) + abs(b.j - a.j) = 1 AND b.z - a.z <= 0.3::DOUBLE * 5)
+SELECT p.frame_id, p.point_id, p.l_linenumber, CAST(CASE WHEN r.frame_id IS NOT NULL AND p.z - c.z <= 0.3 THEN 1 ELSE 0 END AS SMALLINT) AS ground FROM p JOIN c USING (frame_id, i, j) LEFT JOIN r ON r.frame_id = p.frame_id AND r.i = p.i AND r.j = p.j""")
 def q_ground(spark, sf):
     p = cloud(spark, sf).select((F.col("l_suppkey") % 8).alias("frame_id"), F.col("l_orderkey").alias("point_id"), "l_linenumber", "x", "y", "z")
-    return images.ground(p, cell=2.0)
+    return images.ground(p, cell=5.0).select("frame_id", "point_id", "l_linenumber", "ground")
 
 
 @query(f"""WITH g AS (SELECT l_suppkey % 4 AS frame_id, "row", col % 64 AS col, max(l_extendedprice) AS v FROM {POINTS} GROUP BY 1, 2, 3),
