@@ -199,6 +199,12 @@ def test_blocks_of_phrases_merge(spark):
     assert key(decontaminate.decontaminate(docs, items)) == key(decontaminate.decontaminate(docs, items, block_bytes=2000))
 
 
+def test_a_task_holds_one_block_of_phrases(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    plan = decontaminate.decontaminate(docs, items, block_bytes=2000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_forward_backward_is_exact():
     import itertools
 
