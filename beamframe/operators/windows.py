@@ -34,10 +34,16 @@ def distance_travelled(df: DataFrame, key: str, order: list[str], axes: list[str
 
 
 def smoothed(df: DataFrame, key: str, order: list[str], value: str, damping: float) -> DataFrame:
-    """The last of s = d s + (1 - d) x of each key, from its first value. A key's values are one bounded track."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda s: s["v"])
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("s")[0], lambda acc, x: acc * damping + x * (1 - damping))
-    return df.groupBy(key).agg(seq.alias("s")).select(key, fold.alias("smoothed"))
+    """The last of s = d s + (1 - d) x of each key, from its first value.
+
+    In closed form: a value counts (1 - d) d^k, k values before the end, and the first one d^k.
+    So a key's values are numbered and summed up, never gathered.
+    """
+    w = Window.partitionBy(key)
+    last = F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1
+    first = F.row_number().over(w.orderBy(*order)) == 1
+    weight = F.pow(F.lit(float(damping)), last) * F.when(first, F.lit(1.0)).otherwise(F.lit(1.0 - damping))
+    return df.withColumn("_v", F.col(value) * weight).groupBy(key).agg(F.sum("_v").alias("smoothed"))
 
 
 def out_of_order(df: DataFrame, key: str, order: list[str], ts: str) -> DataFrame:
