@@ -172,10 +172,10 @@ def q_versions(spark, sf):
     return w.select("s_suppkey", (F.col("seq") + 1).alias("place"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'OS-0' WHEN 1 THEN 'OS-1' ELSE 'OSDOME' END AS form, CAST([32, 64, 128][1 + s_suppkey % 3] AS INTEGER) AS beams FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'AB-0' WHEN 1 THEN 'AB-1' ELSE 'ABC' END AS form, CAST([32, 64, 128][1 + s_suppkey % 3] AS INTEGER) AS beams FROM supplier")
 def q_product(spark, sf):
     k = F.col("s_suppkey")
-    line = F.when(k % 3 == 0, "OS-0-32").when(k % 3 == 1, "OS-1-64").otherwise("OSDOME-128")
+    line = F.when(k % 3 == 0, "AB-0-32").when(k % 3 == 1, "AB-1-64").otherwise("ABC-128")
     p = scalar.product(line)
     return table(spark, sf, "supplier").select("s_suppkey", p["form"].alias("form"), p["beams"].alias("beams"))
 

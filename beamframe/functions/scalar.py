@@ -57,7 +57,7 @@ def version(text: Column) -> Column:
 
 
 def product(line: Column) -> Column:
-    """Form factor and beam count of a product line such as OS-1-128."""
+    """Form factor and beam count of a product line such as AB-1-128."""
     return F.struct(F.regexp_extract(line, r"^([A-Z]+-?[0-9A-Z]*)-(\d+)", 1).alias("form"), F.regexp_extract(line, r"^([A-Z]+-?[0-9A-Z]*)-(\d+)", 2).cast("int").alias("beams"))
 
 

@@ -258,7 +258,7 @@ def read_mesh(spark: SparkSession, path: str) -> DataFrame:
 #: What a source is by the end of its name.
 KINDS = {".pcap": "capture", ".pcapng": "capture", ".parquet": "frames", ".bag": "recording", ".mcap": "recording", ".ply": "cloud", ".pcd": "cloud", ".las": "coloured", ".stl": "mesh", ".json": "metadata", ".txt": "poses"}
 #: Kinds that can't be read here, and why.
-REFUSED = {".osf": "the container format isn't read; convert it to the Parquet frame store", ".laz": "compressed LAS files aren't read"}
+REFUSED = {".laz": "compressed LAS files aren't read"}
 
 
 def io_type(uri: str) -> str:

@@ -130,7 +130,7 @@ def default(mode: str = "1024x10", rows: int = DEFAULT_ROWS) -> tuple[dict, list
     to_lidar = _identity()
     to_lidar[3] = DEFAULT_ORIGIN_MM
     sensor = {
-        "sn": 0, "prod_line": "OS-1-64", "fw_rev": "UNKNOWN", "init_id": 0, "h": rows, "w": w, "columns_per_packet": DEFAULT_PER_PACKET, "win_start": 0, "win_end": w - 1, "fps": fps,
+        "sn": 0, "prod_line": "DEFAULT-64", "fw_rev": "UNKNOWN", "init_id": 0, "h": rows, "w": w, "columns_per_packet": DEFAULT_PER_PACKET, "win_start": 0, "win_end": w - 1, "fps": fps,
         "profile": "LEGACY", "imu_profile": "LEGACY", "header_type": "STANDARD", "udp_port_lidar": 0, "udp_port_imu": 0, "beam_to_lidar": to_lidar, "lidar_to_sensor": list(DEFAULT_LIDAR_TO_SENSOR), "sensor_to_body": _identity(),
     }
     return sensor, beams

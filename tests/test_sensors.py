@@ -109,7 +109,7 @@ def test_index_skips_late_packets_and_wraps(spark):
 
 
 DOC = {
-    "sensor_info": {"prod_sn": "122", "prod_line": "OS-1-4", "build_rev": "v3.1.0", "initialization_id": 8},
+    "sensor_info": {"prod_sn": "122", "prod_line": "AB-1-4", "build_rev": "v3.1.0", "initialization_id": 8},
     "beam_intrinsics": {"beam_azimuth_angles": [1.0, -1.0, 1.0, -1.0], "beam_altitude_angles": [3.0, 1.0, -1.0, -3.0], "lidar_origin_to_beam_origin_mm": 12.5},
     "lidar_data_format": {"columns_per_frame": 512, "columns_per_packet": 16, "column_window": [0, 511], "pixel_shift_by_row": [0, 3, 6, 9], "udp_profile_lidar": "RNG15_RFL8_NIR8"},
     "config_params": {"lidar_mode": "512x10", "udp_port_lidar": 7502},
@@ -185,7 +185,7 @@ def test_zone_rules(spark):
 
 def test_recordings(spark, tmp_path):
     payload = bytes(range(200))
-    sent = [("/a", recordings.PACKET_TYPES[0], "ros1", 10**18 + k, recordings.packet_message(payload[: 50 + k])) for k in range(5)]
+    sent = [("/a", "lidar_driver/PacketMsg", "ros1", 10**18 + k, recordings.packet_message(payload[: 50 + k])) for k in range(5)]
     sent += [("/a/metadata", "std_msgs/String", "ros1", 10**18, struct.pack("<I", 3) + b"{ }")]
     (tmp_path / "a.mcap").write_bytes(recordings.write_mcap(sent))
     (tmp_path / "b.mcap").write_bytes(recordings.write_mcap([(t, k, "cdr", n, recordings.packet_message(payload[:7], "cdr")) for t, k, _, n, _ in sent[:1]], compress=False))
@@ -250,7 +250,7 @@ def test_coloured_clouds(spark, tmp_path):
 
 def test_sources_by_name(spark, tmp_path):
     assert clouds.io_type("a/b.pcapng") == "capture" and clouds.io_type("https://x/y") == "url" and clouds.io_type("s3a://b/c.ply") == "cloud" and clouds.io_type("/some/folder") == "frames"
-    for bad in ("x.osf", "x.laz", "x.unknown"):
+    for bad in ("x.laz", "x.unknown"):
         with pytest.raises(ValueError):
             clouds.io_type(bad)
     with pytest.raises(ValueError):
