@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamframe.sources.scratch import folder
+
 
 def reduce_by_factor(df: DataFrame, factor: int, height: int) -> DataFrame:
     """Rows 0, n, 2n ... renumbered; a factor of the whole height keeps the middle row."""
@@ -37,9 +39,13 @@ def numbered(df: DataFrame, order: list[Column | str]) -> DataFrame:
 
     Ranges of the order are counted first and each range numbers its own rows, so no
     task holds the whole table: range partitions are sorted and offset by the sizes
-    of those before.
+    of those before. Spark samples the borders of ranges anew for each plan, so the
+    ranges are written once: sizes and rows are read from the same ones.
     """
-    parts = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    path = folder(df.sparkSession, "numbered")
+    dealt = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    parts = df.sparkSession.read.schema(dealt.schema).parquet(path)
     own = parts.withColumn("seq", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
