@@ -87,10 +87,15 @@ def image_pixels(images: DataFrame, keys: list[str], field: str) -> DataFrame:
 
 
 def checksums(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, crc): a checksum of each chunk that doesn't depend on the order of its rows: the sum of their CRC32."""
+    """(keys, rows, crc): a checksum of each chunk that doesn't depend on the order of its rows: the sum of their 64-bit hashes.
+
+    Not of CRCs: the same change flips the same bits of each row's CRC, so changes of several rows cancel in a sum.
+    Times count to the microsecond, in UTC.
+    """
     rest = [c for c in df.columns if c not in keys]
-    row = F.crc32(F.to_json(F.struct(*rest)).cast("binary"))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("crc"))
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    row = F.xxhash64(F.to_json(F.struct(*rest), {"timeZone": "UTC", "timestampFormat": f"{micros}XXX", "timestampNTZFormat": micros}))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(20,0)")).alias("crc"))
 
 
 def damaged(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

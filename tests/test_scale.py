@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from beamframe.operators.selection import numbered
+from beamframe.sources import store
 
 
 def test_numbers_follow_the_order_of_many_rows(spark):
@@ -13,3 +14,15 @@ def test_numbers_follow_the_order_of_many_rows(spark):
         assert got.count() == 300_000 and got.where("seq <> v or more * 7919 % 300000 <> v").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_changes_of_a_chunk_do_not_cancel(spark):
+    chunk = lambda *v: spark.createDataFrame([(1, x) for x in v], "k long, v long")
+    assert [r["k"] for r in store.damaged(chunk(1, 523), store.checksums(chunk(0, 522), ["k"]), ["k"]).collect()] == [1]  # sums of their CRC32 are equal
+    assert store.damaged(chunk(522, 0), store.checksums(chunk(0, 522), ["k"]), ["k"]).count() == 0
+
+
+def test_a_change_of_microseconds_is_damage(spark):
+    at = lambda t: spark.sql(f"SELECT 1 AS k, timestamp_micros({t}) AS t, CAST(timestamp_micros({t}) AS timestamp_ntz) AS u")
+    one = store.checksums(at(1_700_000_000_000_001), ["k"])
+    assert store.damaged(at(1_700_000_000_000_002), one, ["k"]).count() == 1 and store.damaged(at(1_700_000_000_000_001), one, ["k"]).count() == 0
