@@ -320,6 +320,7 @@ def encode_columns(columns: DataFrame, fmt: Format, keys: list[str]) -> DataFram
     """The inverse: (keys, frame_id, init_id, prod_sn, packet_no, payload) of measurement columns, packets in order of their first timestamp.
 
     A frame's columns of one packet meet by grouping; columns that are missing are zero, with status 0. The CRC is written where the format has one.
+    Ids of frames wrap: where a table holds more frames than ids, ``keys`` must tell them apart. A column that comes twice is an error.
     """
     fields = fmt.pixel[1]
     per = fmt.columns_per_packet
@@ -342,6 +343,8 @@ def encode_columns(columns: DataFrame, fmt: Format, keys: list[str]) -> DataFram
             flat, of = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             get = lambda name: flat.field(flat.type.get_field_index(name))  # noqa: B023, E731
             col = get("col").to_numpy().astype(np.int64)
+            if len(np.unique(of * per + col % per)) < len(of):
+                raise ValueError("a column of a frame comes twice; frames of the same id need a key")
             no = b.column("packet_no").to_numpy().astype(np.int64)
             cols = np.zeros((b.num_rows, per, fmt.column_bytes), np.uint8)
             put_bits(cols, no[:, None] * per + np.arange(per)[None, :], *COLUMN_HEADER["measurement_id"])

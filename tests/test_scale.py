@@ -44,3 +44,8 @@ def test_a_change_of_microseconds_is_damage(spark):
 def test_frame_ids_beyond_16_bits(spark, tmp_path):
     sf = with_more(tmp_path, "events", event_id=64 * 65536)
     same(catalogue.queries()["q_frame_headers"](spark, sf), catalogue.oracle_sql()["q_frame_headers"], sf)
+
+
+def test_frames_of_the_same_wrapped_id_stay_apart(spark, tmp_path):
+    sf = with_more(tmp_path, "lineitem", l_orderkey=65536 * 97)
+    same(catalogue.queries()["q_frame_packets"](spark, sf), catalogue.oracle_sql()["q_frame_packets"], sf)
